@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, mixing, pii, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": pii.query,
     "op4_bpe": bpe.query,
+    "op7_mixing": mixing.query,
+    "op8_quality_rules": quality_rules.query,
     "op9_simhash": simhash.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": mixing.SQL,
+    "op8_quality_rules": quality_rules.SQL,
+}
