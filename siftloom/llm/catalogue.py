@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality_rules, simhash
+from . import bpe, mixing, pii, quality_rules, simhash, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": topk.query,
+    "op2_warc": warc.query,
     "op3_pii": pii.query,
     "op4_bpe": bpe.query,
     "op7_mixing": mixing.query,
@@ -16,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": simhash.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_topk": topk.SQL,
+    "op2_warc": warc.SQL,
     "op7_mixing": mixing.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
