@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality_rules, simhash, topk, warc
+from . import bpe, mixing, pii, quality_model, quality_rules, simhash, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": topk.query,
     "op2_warc": warc.query,
     "op3_pii": pii.query,
     "op4_bpe": bpe.query,
+    "op5_toxicity": toxicity.query,
+    "op6_quality": quality_model.query,
     "op7_mixing": mixing.query,
     "op8_quality_rules": quality_rules.query,
     "op9_simhash": simhash.query,
