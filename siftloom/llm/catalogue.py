@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality_model, quality_rules, simhash, topk, toxicity, warc
+from . import bpe, language_model, mixing, pii, quality_model, quality_rules, simhash, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": topk.query,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": mixing.query,
     "op8_quality_rules": quality_rules.query,
     "op9_simhash": simhash.query,
+    "op10_language_model": language_model.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": topk.SQL,
