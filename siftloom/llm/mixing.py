@@ -89,17 +89,17 @@ def plan(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, each as often as the mix takes it."""
-    taken = plan(docs).where("copies > 0").groupBy("doc_id", F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    taken = taken.withColumnRenamed("doc_id", "_id")
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    # Rows that share id, source and size share their copies out: the first ones take the odd ones.
-    number = F.row_number().over(W.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text")))
-    out = docs.join(taken, same)
-    single, several = out.where("_rows = 1"), out.where("_rows > 1").withColumn("_n", number)
-    share = F.floor((F.col("_copies") * F.col("_n")) / F.col("_rows")) - F.floor((F.col("_copies") * (F.col("_n") - 1)) / F.col("_rows"))
-    out = single.withColumn("_k", F.col("_copies")).unionByName(several.withColumn("_k", share).drop("_n"))
-    return out.where("_k > 0").withColumn("_k", F.explode(F.expr("sequence(1, cast(_k as int))"))).select(*docs.columns)
+    keys = {"id": F.col("doc_id").cast("long"), "host": F.col("source").cast("string"), "words": F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")}
+    # As one struct, the columns of docs clash with no other.
+    rows = docs.select(F.struct("*").alias("doc"), *[v.alias(k) for k, v in keys.items()])
+    taken = plan(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("taken"), F.count("*").alias("among")).where("taken > 0")
+    out = rows.join(taken, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("host").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
+    # Rows that share id, source and size share their copies out; they are few, so the texts are sorted for them alone.
+    number = F.row_number().over(W.partitionBy("id", "host", "words").orderBy(F.xxhash64("doc.text")))
+    single, several = out.where("among = 1").select("doc", F.col("taken").alias("n")), out.where("among > 1").withColumn("k", number)
+    upto = lambda k: F.floor(F.col("taken") * k / F.col("among"))
+    several = several.select("doc", (upto(F.col("k")) - upto(F.col("k") - 1)).alias("n"))
+    return single.union(several).where("n > 0").select("doc", F.explode(F.expr("sequence(1, cast(n as int))"))).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

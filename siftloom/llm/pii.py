@@ -227,6 +227,7 @@ def term_hits(docs: DataFrame, revealing: DataFrame) -> DataFrame:
 
 
 def joined(left: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows with ``doc_id`` and ``key`` and the hits of theirs, if any."""
     right = hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "hits")
     return left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").drop("_id", "_key")
 
@@ -267,10 +268,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
         return pd.Series([None if t is None else masked(t, h) for t, h in zip(text, hits)], dtype=object)
 
-    out = joined(docs.withColumn("key", key), hits).withColumn("text", mask("text", "hits"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    # As one struct, the columns of docs clash with no other.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.struct("*").alias("doc"))
+    out = joined(rows, hits).select("doc", mask(F.col("doc.text").cast("string"), "hits").alias("masked"))
+    new = {"text": F.col("masked"), "n_chars": F.length("masked")}
+    return out.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,9 +107,11 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept. The texts are not shuffled unless many hosts are rejected."""
     failed = document_failed(F.col("text"))
-    checked = docs.select(F.col("source").cast("string").alias("source"), failed.alias("base_failed"))
-    bad = host_verdicts(checked).where("rejected").select(F.col("source").alias("_source"))
-    return docs.where(~failed).join(bad, F.col("source").cast("string").eqNullSafe(F.col("_source")), "left_anti")
+    host = F.col("source").cast("string")
+    bad = host_verdicts(docs.select(host.alias("source"), failed.alias("base_failed"))).where("rejected").select(F.col("source").alias("rejected"))
+    # As one struct, the columns of docs clash with no other.
+    rows = docs.where(~failed).select(F.struct("*").alias("doc"), host.alias("host"))
+    return rows.join(bad, F.col("host").eqNullSafe(F.col("rejected")), "left_anti").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

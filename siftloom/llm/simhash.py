@@ -235,8 +235,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Documents whose doc_id names their class; of repeated rows with one doc_id, one stays."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    # As one struct, the columns of docs clash with no other.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("doc"))
+    return rows.join(found, F.col("id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["id"]).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
