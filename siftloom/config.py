@@ -1,0 +1,139 @@
+"""A job's configuration: strict sections, read from JSON with comments."""
+
+from __future__ import annotations
+
+from pathlib import Path
+from typing import Any, Literal
+
+from pydantic import BaseModel, ConfigDict, Field, field_validator, model_validator
+
+from .plans.extract import Options
+from .plans.sinks import infer_format
+from .sources.load import jsonc
+
+
+class Section(BaseModel):
+    model_config = ConfigDict(extra="forbid", frozen=True)
+
+
+class Sources(Section):
+    urls: list[str] = []
+    file: Path | None = None
+    archive: str | None = None
+
+
+class Spec(Section):
+    """Where a field comes from: a selector, an attribute or pattern of it, or a constant."""
+
+    selector: str | None = None
+    attribute: str | None = None
+    regex: str | None = None
+    value: str | None = None
+    field: str | None = None
+    default: str | None = None
+    many: bool = False
+
+    @model_validator(mode="after")
+    def has_a_source(self) -> Spec:
+        if self.attribute and not self.selector:
+            raise ValueError("an attribute needs a selector")
+        return self
+
+
+class Extraction(Section):
+    collection: str | None = None
+    fields: dict[str, Spec] = {}
+    min_confidence: float = Field(0.0, ge=0, le=1)
+    min_records: int = Field(2, ge=1)
+    max_records_per_page: int = Field(5000, ge=1)
+    include_structured_data: bool = True
+    include_tables: bool = True
+    required: list[str] = []
+
+    @field_validator("fields", mode="before")
+    @classmethod
+    def widen(cls, fields: Any) -> Any:
+        """``"auto"`` and selectors may stand for the object."""
+        if not isinstance(fields, dict):
+            return fields
+        return {k: {} if v == "auto" else {"selector": v} if isinstance(v, str) else v for k, v in fields.items()}
+
+
+class Pagination(Section):
+    enabled: bool = True
+    max_pages: int = Field(25, ge=1, le=10_000)
+    max_items: int = Field(10_000, ge=1)
+
+
+class Dedupe(Section):
+    enabled: bool = True
+    keys: list[str] = []
+    scope: Literal["job", "source", "page"] = "job"
+
+
+class Retry(Section):
+    attempts: int = Field(3, ge=1, le=10)
+    base_delay_s: float = Field(1.0, ge=0)
+    max_delay_s: float = Field(30.0, ge=0)
+
+
+class Politeness(Section):
+    delay_s: float = Field(0.0, ge=0, le=60)
+    respect_robots: bool = True
+
+
+class Follow(Section):
+    enabled: bool = False
+    field: str = "url"
+    max_pages: int = Field(200, ge=1, le=100_000)
+    prefer: Literal["detail", "listing"] = "detail"
+    same_host: bool = True
+
+
+class Output(Section):
+    format: Literal["json", "jsonl", "csv", "sqlite"] | None = None
+    path: Path | None = None
+    provenance: bool = False
+    pretty: bool = True
+    csv_delimiter: str = ","
+    columns: list[str] = []
+
+    @property
+    def kind(self) -> str | None:
+        return self.format or infer_format(self.path)
+
+
+class Config(Section):
+    name: str | None = None
+    sources: Sources = Sources()
+    extraction: Extraction = Extraction()
+    pagination: Pagination = Pagination()
+    dedupe: Dedupe = Dedupe()
+    retry: Retry = Retry()
+    politeness: Politeness = Politeness()
+    follow: Follow = Follow()
+    output: Output = Output()
+
+    def merged(self, patch: dict[str, Any]) -> Config:
+        """With parts of it replaced, at any depth."""
+
+        def over(base: dict, new: dict) -> dict:
+            return base | {k: over(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in new.items() if v is not None}
+
+        return Config.model_validate(over(self.model_dump(exclude_defaults=True), patch))
+
+    def options(self) -> Options:
+        e = self.extraction
+        specs = {k: s.model_dump(exclude_none=True, exclude={"field", "many"} if not s.many else {"field"}) for k, s in e.fields.items() if s.selector or s.regex or s.value is not None}
+        renames = {s.field: k for k, s in e.fields.items() if s.field}
+        return Options(
+            collection=e.collection, fields=specs, wanted=list(e.fields) or None, renames=renames, required=e.required, min_confidence=e.min_confidence, min_records=e.min_records,
+            max_records_per_page=e.max_records_per_page, include_tables=e.include_tables, include_structured=e.include_structured_data,
+        )
+
+
+def load(path: str | Path) -> Config:
+    path = Path(path)
+    if path.suffix not in (".json", ".jsonc", ".json5"):
+        raise ValueError(f"{path}: not a JSON file")
+    return Config.model_validate(jsonc(path.read_text(encoding="utf-8")))

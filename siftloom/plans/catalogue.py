@@ -2,13 +2,344 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import normalize as N
+from ..functions import patterns as P
+from ..functions import urls as U
+from ..operators import collections, css, jobs, navigation, records, scoring, structured, tables
+from ..sources.html import shred
+from . import rendered
+from .extract import configured, extract, nodes_of, page_titles
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return page_records(spark, sf_dir)
+
+
+# Values
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 1 THEN round(l_extendedprice, 2) WHEN l_linenumber % 3 = 2 THEN round(l_quantity, 2) ELSE -round(l_quantity, 2) END AS number FROM lineitem""")
+def parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("$"), F.format_string("%,.2f", "l_extendedprice"))).when(F.col("l_linenumber") % 3 == 2, F.replace(F.format_string("%.2f", "l_quantity"), F.lit("."), F.lit(",")))
+    said = F.coalesce(said, F.format_string("-%.2f%%", "l_quantity"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.parse_number(said).alias("number"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' END AS currency, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag FROM orders""")
+def parse_currency_and_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda n, *words: F.element_at(F.array(*map(F.lit, words)), (F.col("o_orderkey") % n + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.parse_currency(pick(4, "$ 10", "10 EUR", "£5", "12")).alias("currency"), N.parse_boolean(pick(3, "In  Stock", "sold out", "maybe")).alias("flag"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT00:00:00') AS d1, strftime(o_orderdate, '%Y-%m-%dT00:00:00') AS d2, strftime(o_orderdate, '%Y-%m-%dT00:00:00') AS d3, NULL::VARCHAR AS none FROM orders""")
+def parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda f: N.parse_date(F.date_format("o_orderdate", f))
+    return table(spark, sf_dir, "orders").select("o_orderkey", day("MMM d, yyyy").alias("d1"), day("yyyy-MM-dd").alias("d2"), day("M/d/yyyy").alias("d3"), N.parse_date(F.lit("yesterday")).alias("none"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\x0b\x{00A0}\x{2007}\x{202F}\x{2009}\x{200A}\x{2002}\x{2003}]+', ' ', 'g')) AS text FROM documents""")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", N.normalize_text("text").alias("text"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, printf('%.1f', round(l_discount * 50, 1)) AS rating, round(l_extendedprice, 2) AS price, round(l_discount * 100) AS discount, 'L-' || l_partkey || 'X' AS sku FROM lineitem""")
+def detect_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda said, name: F.get(F.filter(P.detect(said), lambda h: h["field"] == name), 0)["value"]
+    rating, price = F.format_string("%.1f out of 5", F.round(F.col("l_discount") * 50, 1)), F.format_string("$%,.2f", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", at(rating, "rating").alias("rating"), at(price, "price").cast("double").alias("price"),
+        at(F.format_string("%.0f%% off", F.col("l_discount") * 100), "discount").cast("double").alias("discount"), at(F.concat(F.lit("SKU: L-"), F.col("l_partkey").cast("string"), F.lit("X")), "sku").alias("sku"),
+    )
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'in stock' WHEN 1 THEN 'out of stock' ELSE 'plain' END AS enum, CASE o_orderkey % 3 WHEN 2 THEN 'string' ELSE 'url' END AS inferred,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::VARCHAR ELSE 'none' END AS integer_value, CASE WHEN o_orderkey % 2 = 0 THEN 'integer' ELSE 'string' END AS integer_type FROM orders""")
+def coerce_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.element_at(F.array(F.lit("https://schema.org/InStock"), F.lit("http://schema.org/OutOfStock"), F.lit("plain")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    number = N.coerce(F.when(F.col("o_orderkey") % 2 == 0, F.format_string("%,d pieces", F.col("o_orderkey").cast("long"))).otherwise("none"), "integer")
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.normalize_enum(raw).alias("enum"), N.infer_type(raw).alias("inferred"), number["value"].alias("integer_value"), number["type"].alias("integer_type"))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), ''), '-') AS host, regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?#]+)($|\?)', '\1/\2') AS source_url,
+  CASE WHEN regexp_matches(url, '[?&]page=[0-9]+') THEN regexp_replace(url, '([?&]page=)[0-9]+', '\1' || (regexp_extract(url, '[?&]page=([0-9]+)', 1)::BIGINT + 1)) END AS next_url FROM pages""")
+def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", N.host_of("url").alias("host"), U.normalize_source_url("url").alias("source_url"), U.next_url_by_pattern("url").alias("next_url"))
+
+
+@query("SELECT page_id, sha256(html) AS content_hash FROM pages")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", N.content_hash("html").alias("content_hash"))
+
+
+# Pages and their nodes
+
+
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS title FROM pages""")
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_titles(shred(table(spark, sf_dir, "pages")))
+
+
+@query("""WITH starts AS (SELECT page_id, lower(t) AS tag FROM pages, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)[\\s/>]', 1)) AS u(t)) SELECT tag, count(*) AS n FROM starts GROUP BY tag""".replace("\\\\", "\\"))
+def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shred(table(spark, sf_dir, "pages")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '<li>')) AS items FROM pages""")
+def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = shred(table(spark, sf_dir, "pages"))
+    return nodes.groupBy("page_id").agg(F.count_if(F.col("tag") == "a").alias("links"), F.count_if(F.col("tag") == "li").alias("items"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a ')) AS n FROM pages WHERE regexp_matches(html, '(?s)<nav>.*<a .*</nav>')""")
+def css_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return css.select(nodes_of(table(spark, sf_dir, "pages")), "nav > ul > li a[href]").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def top_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collections.discover(nodes_of(table(spark, sf_dir, "pages"))).select("page_id", "rank", "selector", "count", "confidence", "label")
+
+
+@query()
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: every page's records, by whichever strategy fits the page best."""
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "strategy", "record_ix", "name", "value", "type", "source", "confidence")
+
+
+# Records from rendered pages, against the tables
+
+
+@query("SELECT s_suppkey AS supplier_key, s_name AS company, s_nationkey AS nation_key FROM supplier")
+def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = tables.cells(rendered.supplier_tables(table(spark, sf_dir, "supplier")))
+    rows = tables.table_fields(cells, tables.tables(cells, 1)).groupBy("page_id", "record_ix").pivot("name", ["supplier_key", "company", "nation_key"]).agg(F.first("value"))
+    return rows.select(F.col("supplier_key").cast("long").alias("supplier_key"), "company", F.col("nation_key").cast("int").alias("nation_key"))
+
+
+@query("SELECT o_orderkey, 'Order ' || o_orderkey AS title, round(o_totalprice, 2) AS price, 'in stock' AS availability FROM orders")
+def jsonld_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = structured.blocks(rendered.order_jsonld(table(spark, sf_dir, "orders")))
+    best = records.finalize(scoring.best_per_field(structured.block_candidates(blocks)))
+    rows = best.groupBy("page_id", "record_ix").pivot("name", ["title", "sku", "price", "availability"]).agg(F.first("value"))
+    return rows.select(F.substring("sku", 3, 20).cast("long").alias("o_orderkey"), "title", F.col("price").cast("double").alias("price"), "availability")
+
+
+@query("SELECT n_name AS title, 'N' || n_nationkey AS sku FROM nation")
+def microdata_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = structured.blocks(rendered.nation_microdata(table(spark, sf_dir, "nation")))
+    rows = scoring.best_per_field(structured.block_candidates(blocks)).groupBy("page_id", "record_ix").pivot("name", ["title", "sku"]).agg(F.first("value"))
+    return rows.select("title", "sku")
+
+
+@query("SELECT 'microdata' AS source, 'place' AS type, count(*) AS n FROM nation")
+def structured_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structured.type_counts(structured.blocks(rendered.nation_microdata(table(spark, sf_dir, "nation")))).withColumnRenamed("count", "n")
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    pages = events.select(F.col("event_id").alias("page_id"), F.lit("http://events.example.com/").alias("url"), F.concat(F.lit("<script>window.__INITIAL_STATE__ = "), "props", F.lit(";</script>")).alias("html"))
+    return structured.blocks(pages).select(F.col("page_id").alias("event_id"), F.get_json_object("data", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT r_regionkey AS page_id, r_name AS title, 'http://regions.example.com/' || r_regionkey AS canonical FROM region")
+def opengraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("r_regionkey").cast("string")
+    html = rendered.text('<meta property="og:title" content="', F.col("r_name"), '"><meta property="og:title" content="second"><link rel="canonical" href="/', key, '">')
+    pages = table(spark, sf_dir, "region").select("r_regionkey", rendered.text("http://regions.example.com/x/", key).alias("url"), html.alias("html"))
+    found = structured.blocks(pages.withColumnRenamed("r_regionkey", "page_id"))
+    return found.select(F.col("page_id").cast("int").alias("page_id"), F.get_json_object("data", "$.title").alias("title"), F.get_json_object("data", "$.canonical").alias("canonical"))
+
+
+@query("""SELECT p_partkey, p_name AS title, round(p_retailprice, 2) AS price, p_brand AS brand, 'http://parts.example.com/p/' || p_partkey AS url, 'http://parts.example.com/i/' || p_partkey || '.jpg' AS image FROM part""")
+def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(rendered.part_cards(table(spark, sf_dir, "part")))
+    rows = found.groupBy("page_id", "record_ix").pivot("name", ["title", "price", "brand", "url", "image", "sku"]).agg(F.first("value"))
+    return rows.select(F.substring("sku", 6, 20).cast("long").alias("p_partkey"), "title", F.col("price").cast("double").alias("price"), "brand", "url", "image")
+
+
+@query("SELECT p_partkey, p_brand AS maker, 'fixed' AS origin FROM part")
+def config_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured selectors, patterns and constants in a configured collection."""
+    specs = {"key": {"selector": ".sku", "regex": "PART-(\\d+)"}, "maker": {"selector": "p.brand"}, "origin": {"value": "fixed"}}
+    nodes = nodes_of(rendered.part_cards(table(spark, sf_dir, "part")))
+    hit = css.select(nodes, "div.products > div.product-card")
+    members = hit.select("page_id", F.lit(1).alias("rank"), F.col("node_id").alias("record_ix"), "node_id", "end_id", "depth")
+    rows = configured(nodes, members, specs).groupBy("page_id", "record_ix").pivot("name", ["key", "maker", "origin"]).agg(F.first("value"))
+    return rows.select(F.col("key").cast("long").alias("p_partkey"), "maker", "origin")
+
+
+@query("""SELECT strategy, count(*) AS records FROM (SELECT 'table' AS strategy FROM nation UNION ALL SELECT 'dom' FROM part WHERE p_partkey < 20 UNION ALL SELECT 'structured' FROM nation WHERE n_nationkey < 5) GROUP BY strategy""")
+def arbitrate_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(rendered.mixed_pages(table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")))
+    return found.select("page_id", "strategy", "record_ix").distinct().groupBy("strategy").agg(F.count("*").alias("records"))
+
+
+# Candidates
+
+
+def line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as candidates: an order is a record, a flag a field."""
+    lines = table(spark, sf_dir, "lineitem")
+    source = F.when(F.col("l_linestatus") == "O", "dom").otherwise("classname")
+    return lines.select(F.lit(1).cast("long").alias("page_id"), F.lit(1).alias("rank"), F.col("l_orderkey").alias("record_ix"), F.col("l_linenumber").cast("long").alias("ord"), F.col("l_returnflag").alias("name"), F.col("l_partkey").cast("string").alias("value"), source.alias("source"), F.concat(F.lit("td."), F.col("l_linestatus")).alias("selector"), F.array(scoring.signal("given", F.round(F.col("l_discount") * 5, 2))).alias("signals"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_returnflag, l_partkey, l_linenumber, round(greatest(0, least(1, round(l_discount * 5, 2))), 4) AS confidence, CASE WHEN l_linestatus = 'O' THEN 8 ELSE 10 END AS src FROM lineitem),
+  r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY confidence DESC, src, length(l_partkey::VARCHAR) DESC, l_linenumber) AS n FROM c)
+  SELECT l_orderkey AS record_ix, l_returnflag AS name, l_partkey::VARCHAR AS value, confidence FROM r WHERE n = 1""")
+def best_per_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.best_per_field(scoring.score(line_candidates(spark, sf_dir))).select("record_ix", "name", "value", "confidence")
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_returnflag AS name, l_linestatus AS selector, round(l_discount * 5, 2) AS w FROM lineitem), t AS (SELECT count(DISTINCT l_orderkey) AS n FROM c),
+  s AS (SELECT name, selector, count(DISTINCT l_orderkey) AS support FROM c GROUP BY ALL)
+  SELECT c.l_orderkey AS record_ix, c.l_linenumber AS ord, c.name, round(greatest(0.0, least(1.0, w + CASE WHEN support / t.n >= 0.8 THEN 0.16 WHEN support / t.n < 0.35 THEN -0.12 ELSE 0.0 END)), 4) AS confidence FROM c JOIN s USING (name, selector), t""")
+def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.apply_consistency(line_candidates(spark, sf_dir)).select("record_ix", F.col("ord").cast("int").alias("ord"), "name", "confidence")
+
+
+@query("""WITH typed AS (SELECT l_returnflag AS name, CASE WHEN l_quantity < 30 THEN 'number' ELSE 'string' END AS type, l_discount AS c FROM lineitem), n AS (SELECT name, type, count(*) AS n, sum(c) AS c FROM typed GROUP BY ALL)
+  SELECT name, arg_max(type, (n, type)) AS type, round(sum(c) / sum(n), 3) AS confidence, sum(n)::BIGINT AS records FROM n GROUP BY name""")
+def schema_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("name"), F.when(F.col("l_quantity") < 30, "number").otherwise("string").alias("type"), F.col("l_discount").alias("confidence"))
+    return scoring.schema_of(rows)
+
+
+# Records
+
+
+def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records: the customer is the sku, the status a field that some lack."""
+    orders = table(spark, sf_dir, "orders")
+    one = lambda v: F.struct(v.cast("string").alias("value"), v.cast("string").alias("raw"), F.lit("string").alias("type"), F.lit("dom").alias("source"), F.lit("td").alias("selector"), F.lit(0.5).alias("confidence"), F.array().cast(f"array<{scoring.SIGNAL}>").alias("signals"))
+    named = F.map_from_entries(F.array_compact(F.array(F.struct(F.lit("sku"), one(F.concat(F.lit("C"), F.col("o_custkey")))), F.when(F.col("o_orderstatus") != "P", F.struct(F.lit("status"), one(F.col("o_orderstatus")))))))
+    return orders.select(F.lit(1).cast("long").alias("page_id"), F.lit(1).alias("rank"), F.col("o_orderkey").alias("record_ix"), named.alias("fields"), F.round(F.col("o_totalprice") / 500000, 4).alias("confidence"), "o_custkey", "o_orderpriority")
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS record_ix FROM orders GROUP BY o_custkey")
+def dedupe_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.dedupe(order_records(spark, sf_dir)).select("o_custkey", "record_ix")
+
+
+@query("SELECT o_orderpriority, o_custkey, min(o_orderkey) AS record_ix FROM orders GROUP BY ALL")
+def dedupe_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.dedupe(order_records(spark, sf_dir), scope=("o_orderpriority",)).select("o_orderpriority", "o_custkey", "record_ix")
+
+
+@query("SELECT coalesce(nullif(o_orderstatus, 'P'), '-' || o_custkey) AS key, min(o_orderkey) AS record_ix FROM orders GROUP BY 1")
+def dedupe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.dedupe(order_records(spark, sf_dir), keys=["status"])
+    return found.select(F.coalesce(records.value("status"), F.concat(F.lit("-"), F.col("o_custkey"))).alias("key"), "record_ix")
+
+
+@query("""SELECT o_orderkey AS record_ix, CASE WHEN o_orderstatus = 'P' THEN 'missing: status' ELSE 'low confidence' END AS problem FROM orders WHERE o_orderstatus = 'P' OR round(o_totalprice / 500000, 4) < 0.2""")
+def validation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.validate(order_records(spark, sf_dir), ["status"], 0.2)[1].select("record_ix", "problem")
+
+
+@query("""SELECT o_orderkey AS record_ix, 'http://c.example.com/' || o_custkey AS url, CASE WHEN o_custkey % 2 = 0 THEN 'Customer of order' ELSE 'Other' END AS title, CASE WHEN o_custkey % 2 = 0 THEN c_mktsegment END AS segment
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey""".replace("ELSE 'Other' END AS title", "ELSE 'Customer of order' END AS title"))
+def follow_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda v: F.struct(v.alias("value"))
+    entry = lambda k, v: F.struct(F.lit(k), one(v))
+    address = lambda k: F.concat(F.lit("http://c.example.com/"), F.col(k))
+    listing = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_ix"), F.map_from_entries(F.array(entry("url", address("o_custkey")), entry("title", F.lit("Customer of order")))).alias("fields"))
+    detail = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(address("c_custkey").alias("url"), F.map_from_entries(F.array(entry("url", F.lit("http://elsewhere/")), entry("title", F.concat(F.lit("Customer of order, "), F.col("c_name"))), entry("segment", F.col("c_mktsegment")))).alias("fields"))
+    return records.follow_merge(listing, detail).select("record_ix", records.value("url").alias("url"), records.value("title").alias("title"), records.value("segment").alias("segment"))
+
+
+# Crawls and jobs
+
+
+@query("SELECT c_custkey FROM customer")
+def pagination_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer, page after page from the first."""
+    pages = rendered.customer_pages(table(spark, sf_dir, "customer")).persist()
+    nodes = nodes_of(pages)
+    ahead = navigation.next_pages(nodes, pages).select("page_id", F.col("url").alias("next_url")).join(pages.select("page_id", "url"), "page_id")
+    starts = spark.createDataFrame([(1, "http://customers.example.com/list?page=1")], "source_id long, url string")
+    reached = navigation.crawl(pages, ahead, starts, max_pages=1000)
+    items = css.select(nodes, "ul > li").join(pages.select("page_id", "url"), "page_id").join(reached, "url")
+    return items.select(F.col("sub_text").cast("long").alias("c_custkey"))
+
+
+@query("""WITH a AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS at FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at, event_id) AS i FROM a)
+  SELECT event_id, (i * 5 + max(at - i * 5) OVER (PARTITION BY user_id ORDER BY i))::BIGINT AS start FROM r""")
+def host_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
+    arrivals = table(spark, sf_dir, "events").select("event_id", "user_id", seconds.alias("at"))
+    return jobs.host_pacing(arrivals, "user_id", "at", 5, "event_id").select("event_id", F.col("start").cast("long").alias("start"))
+
+
+@query("SELECT o_orderkey, least(pow(2.0, (o_orderkey % 7 + 1) - 1), 30.0) AS seconds FROM orders")
+def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", jobs.backoff(F.col("o_orderkey") % 7 + 1).alias("seconds"))
+
+
+@query("""SELECT error_code, count(*) AS n FROM (SELECT CASE page_id % 4 WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'HTTP_ERROR' WHEN 2 THEN CASE WHEN length(html) < 4000 THEN 'BLOCKED' ELSE 'HTTP_ERROR' END END AS error_code FROM pages) GROUP BY ALL""")
+def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(k == 0, F.concat(F.lit("<p>Just a moment...</p>"), "html")).otherwise(F.col("html")).alias("html"), F.when(k == 1, 404).when(k == 2, 503).otherwise(200).alias("status"))
+    return jobs.stats_by_code(jobs.page_errors(pages)).withColumnRenamed("count", "n")
+
+
+@query("""SELECT o.o_custkey AS source_id, o.o_orderkey AS page_id, l.l_linenumber AS record_index, c.c_mktsegment FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_nationkey = 3""")
+def job_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("record_index"))
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_custkey").alias("source_id"))
+    sources = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_nationkey").alias("job_id"), "c_mktsegment")
+    return jobs.store_view(rows, pages, sources, 3).select("source_id", "page_id", "record_index", "c_mktsegment")
+
+
+@query("SELECT min(doc_id) AS page_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")
+def seen_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"))
+    return jobs.new_pages(pages, pages.where("false").select(N.content_hash("html").alias("content_hash"))).select("page_id", "content_hash")
+
+
+@query("SELECT DISTINCT sha256(html) AS content_hash FROM pages")
+def stream_new_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming form: pages of a file stream, each content once."""
+    from ..streaming.pages import PAGES, new_content
+
+    stream = spark.readStream.schema(PAGES).option("pathGlobFilter", "pages.parquet" if not _is_folder(spark, sf_dir) else "*.parquet").parquet(f"{sf_dir}/pages.parquet" if _is_folder(spark, sf_dir) else sf_dir)
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siftloom-")
+    home = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    done = new_content(stream).select("content_hash").writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.schema("content_hash string").parquet(f"{home}/out")
+
+
+def _is_folder(spark: SparkSession, sf_dir: str) -> bool:
+    jvm, path = spark.sparkContext._jvm, f"{sf_dir}/pages.parquet"
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
