@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -245,10 +245,10 @@ def find(docs: DataFrame) -> DataFrame:
     return joined(base, hits).select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", F.when(F.col("hits").isNull(), F.col("spans")).otherwise(spans).alias("spans"))
 
 
-def masked(text: str, hits: list[dict] | None) -> str:
+def masked(text: str, hits: Sequence[dict] | None) -> str:
     """Base spans as their kind; revealing terms as [TERM] or removed. Overlapping spans go as one, by the first."""
     marks = [(a, b, f"[{k.upper()}]") for k, a, b in base_spans(text)]
-    marks += [(h["start"], h["end"], "" if h["remove"] else "[TERM]") for h in hits or ()]
+    marks += [(h["start"], h["end"], "" if h["remove"] else "[TERM]") for h in (() if hits is None else hits)]
     out, at = [], 0
     for a, b, mark in sorted(marks, key=lambda m: m[0]):
         if a >= at:
