@@ -54,7 +54,7 @@ def apply_consistency(candidates: DataFrame) -> DataFrame:
 
 def best_per_field(candidates: DataFrame) -> DataFrame:
     """The candidate of each record and field with the highest confidence, then source, then longest value, then first."""
-    w = W.partitionBy(*RECORD, "name").orderBy(F.desc("confidence"), source_rank(F.col("source")), F.desc(F.length("value")), "ord")
+    w = W.partitionBy(*RECORD, "name").orderBy(F.desc("confidence"), source_rank(F.col("source")), F.desc(F.length("value")), "ord", "value")
     return candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

@@ -214,7 +214,7 @@ def line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_returnflag, l_partkey, l_linenumber, round(greatest(0, least(1, round(l_discount * 5, 2))), 4) AS confidence, CASE WHEN l_linestatus = 'O' THEN 8 ELSE 10 END AS src FROM lineitem),
-  r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY confidence DESC, src, length(l_partkey::VARCHAR) DESC, l_linenumber) AS n FROM c)
+  r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY confidence DESC, src, length(l_partkey::VARCHAR) DESC, l_linenumber, l_partkey::VARCHAR) AS n FROM c)
   SELECT l_orderkey AS record_ix, l_returnflag AS name, l_partkey::VARCHAR AS value, confidence FROM r WHERE n = 1""")
 def best_per_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.best_per_field(scoring.score(line_candidates(spark, sf_dir))).select("record_ix", "name", "value", "confidence")
@@ -292,8 +292,8 @@ def pagination_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("sub_text").cast("long").alias("c_custkey"))
 
 
-@query("""WITH a AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS at FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at, event_id) AS i FROM a)
-  SELECT event_id, (i * 5 + max(at - i * 5) OVER (PARTITION BY user_id ORDER BY i))::BIGINT AS start FROM r""")
+@query("""WITH a AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS t FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM a)
+  SELECT event_id, (i * 5 + max(t - i * 5) OVER (PARTITION BY user_id ORDER BY i))::BIGINT AS start FROM r""")
 def host_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
     arrivals = table(spark, sf_dir, "events").select("event_id", "user_id", seconds.alias("at"))
