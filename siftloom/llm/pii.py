@@ -109,11 +109,14 @@ def context(text: str, start: int, end: int, own: list[tuple[str, int, int]]) ->
 
 
 def evidence(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int]]:
-    """``(entity, term, context)`` once for each pair of the document; term "" stands for the entity itself."""
+    """``(entity, term, context)`` once for each pair of the document; term "" stands for the entity itself.
+
+    A context is known by the least hash of its terms, so that near copies of a passage mostly agree on it.
+    """
     out: dict[tuple[str, str], int] = {}
     for kind, a, b in spans:
         terms = context(text, a, b, spans)
-        e, c = entity(kind, text[a:b]), xxhash.xxh64_intdigest(" ".join(terms)) >> 1
+        e, c = entity(kind, text[a:b]), min((xxhash.xxh64_intdigest(t) >> 1 for t in terms), default=0)
         for t in ("", *terms):
             out.setdefault((e, t), c)
     return [(e, t, c) for (e, t), c in out.items()]
