@@ -292,7 +292,7 @@ def pagination_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("sub_text").cast("long").alias("c_custkey"))
 
 
-@query("""WITH a AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS t FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM a)
+@query("""WITH a AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS t FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM a)
   SELECT event_id, (i * 5 + max(t - i * 5) OVER (PARTITION BY user_id ORDER BY i))::BIGINT AS start FROM r""")
 def host_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
