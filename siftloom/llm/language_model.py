@@ -14,6 +14,7 @@ documents are joined to the table.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -29,7 +30,7 @@ from .common import table, write_shared
 from .labels import fold
 
 CLASSES, UNITS, CONTEXTS, ROWS = 24, 4096, 256, 1 << 15
-FREQUENT, ROUNDS, STEP, RATE = 250_000, 2, 8192, 0.15
+FREQUENT, ROUNDS, STEP, RATE = 250_000, 2, 16_384, 0.15
 SMOOTH = 0.1
 #: The end of a text is a token; no word is empty.
 END = b""
@@ -52,6 +53,13 @@ class Codes(dict):
         return code
 
 
+class Logs(dict):
+    """word to the log of its smoothed count; of other words not a number."""
+
+    def __missing__(self, word: bytes) -> float:
+        return math.nan
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
 
@@ -98,9 +106,10 @@ def feature_rows(t: Tokens, at: np.ndarray) -> list[np.ndarray]:
 
 
 def probabilities(w: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = w[rows[0]]
+    z = np.take(w, rows[0], axis=0, mode="clip")
+    part = np.empty_like(z)
     for r in rows[1:]:
-        z += w[r]
+        z += np.take(w, r, axis=0, out=part, mode="clip")
     z += bias
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
@@ -211,7 +220,7 @@ def train(docs: DataFrame, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray
         def make(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             common, classes = sent.value
             w = common.reshape(ROWS + 1, CLASSES).copy()
-            squares = np.full_like(w, 1e-4)
+            squares, step = np.full_like(w, 1e-4), np.empty_like(w)
             codes, tokens = Codes(), 0
             for _, _, _, held in runs(batches, 1):
                 t = lay_out(held, codes)
@@ -222,14 +231,13 @@ def train(docs: DataFrame, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray
                     g = probabilities(w, w[ROWS], rows)
                     g[np.arange(len(at)), classes[t.unit[at]]] -= 1
                     g /= np.float32(64)
-                    idx = np.concatenate(rows)
-                    order = np.argsort(idx, kind="stable")
-                    idx = idx[order]
-                    first = np.flatnonzero(np.r_[True, idx[1:] != idx[:-1]])
-                    touched = np.r_[idx[first].astype(np.int64), ROWS]
-                    step = np.r_[np.add.reduceat(g[order % len(at)], first, axis=0), g.sum(axis=0, keepdims=True)]
-                    squares[touched] += step * step
-                    w[touched] -= np.float32(RATE) * step / np.sqrt(squares[touched])
+                    # A class at a time: counting sums a column by rows several times faster than sorting the rows.
+                    idx, columns = np.concatenate(rows).astype(np.int64), np.ascontiguousarray(g.T, np.float64)
+                    for c in range(CLASSES):
+                        step[:ROWS, c] = np.bincount(idx, weights=np.tile(columns[c], len(rows)), minlength=ROWS)
+                    step[ROWS] = columns.sum(axis=1)
+                    squares += step * step
+                    w -= np.float32(RATE) * step / np.sqrt(squares)
             return np.r_[(w.ravel() - common) * np.float32(tokens), np.float32(tokens)]
 
         share = training(docs).where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(ROUNDS)) == k)
@@ -291,7 +299,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, logs = sent.value
-        codes = Codes()
+        codes, logs = Codes(), Logs(logs)
         kind = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
         for first, end, b, held in runs(batches, 1):
             t = lay_out(held, codes)
@@ -302,21 +310,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 p = probabilities(model.weights, model.bias, feature_rows(t, at))[np.arange(len(at)), c]
                 picked[s : s + STEP] = np.log10(np.maximum(p, np.float32(1e-30))) - model.log_total[c]
             sums = np.add.reduceat(picked, np.cumsum(t.sizes) - t.sizes)
-            found, seen, rare = [], [], []
-            get = logs.get
-            for words in held:
-                x = [*map(get, words), get(END)]
-                some = [y for y in x if y is not None]
-                found.append(sum(some))
-                seen.append(len(some))
-                if len(some) < len(x):
-                    less = Counter(w for w, y in zip(words, x) if y is None)
-                    if x[-1] is None:
-                        less[END] = 1
-                    rare.append([{"w": w, "n": k} for w, k in less.items()])
-                else:
-                    rare.append([])
-            cols = [b.column(0).slice(first, end - first), pa.array(t.sizes), pa.array(seen, pa.int64()), pa.array(found, pa.float64()), pa.array(sums), pa.array(rare, kind)]
+            # Logs of the frequent words' counts; the others, not numbers here, are told by word.
+            each = np.fromiter(map(logs.__getitem__, chain.from_iterable(chain(d, (END,)) for d in held)), np.float64, int(t.sizes.sum()))
+            starts, unknown = np.cumsum(t.sizes) - t.sizes, np.isnan(each)
+            found = np.add.reduceat(np.where(unknown, 0.0, each), starts)
+            missing = np.add.reduceat(unknown.astype(np.int64), starts)
+            seen, rare = t.sizes - missing, [[] for _ in held]
+            at = np.flatnonzero(unknown)
+            of = np.searchsorted(starts, at, "right") - 1
+            less: dict[int, Counter[bytes]] = {}
+            for d, i in zip(of.tolist(), (at - starts[of]).tolist()):
+                less.setdefault(d, Counter())[held[d][i] if i < len(held[d]) else END] += 1
+            for d, n in less.items():
+                rare[d] = [{"w": w, "n": k} for w, k in n.items()]
+            cols = [b.column(0).slice(first, end - first), pa.array(t.sizes), pa.array(seen), pa.array(found), pa.array(sums), pa.array(rare, kind)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "seen", "found", "model", "rare"])
 
     shape = "doc_id long, n_tokens long, seen long, found double, model double, rare array<struct<w: binary, n: long>>"
