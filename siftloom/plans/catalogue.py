@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import patterns as P
 from ..functions import urls as U
-from ..operators import collections, css, jobs, navigation, records, scoring, structured, tables
+from ..operators import brief, collections, css, jobs, navigation, records, scoring, structured, tables
 from ..sources.html import shred
 from . import rendered
 from .extract import configured, extract, nodes_of, page_titles
@@ -234,6 +234,18 @@ def schema_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.schema_of(rows)
 
 
+@query("""WITH p AS (SELECT n_nationkey AS ord, CASE WHEN n_nationkey % 7 = 6 THEN '9!' ELSE 'field ' || n_nationkey END AS field, 'c' || (n_nationkey % 12) AS id, n_nationkey % 12 AS c FROM nation),
+  r AS (SELECT *, CASE WHEN ord % 7 = 6 THEN 'bad name' WHEN c >= 10 THEN 'unknown column' WHEN c * 0.1 < 0.3 THEN 'low coverage' END AS reason FROM p),
+  t AS (SELECT *, min(CASE WHEN reason IS NULL THEN ord END) OVER (PARTITION BY id) AS f FROM r)
+  SELECT ord, field, id, CASE WHEN reason IS NULL AND ord <= f THEN 'accepted' ELSE 'rejected' END AS status, coalesce(reason, CASE WHEN ord > f THEN 'column taken' END) AS reason FROM t""")
+def proposal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    nation = table(spark, sf_dir, "nation")
+    proposals = nation.select(key.alias("ord"), F.when(key % 7 == 6, "9!").otherwise(F.concat(F.lit("field "), key)).alias("field"), F.concat(F.lit("c"), key % 12).alias("id"))
+    columns = nation.where("n_nationkey < 10").select(F.concat(F.lit("c"), key).alias("id"), (key * F.lit("0.1").cast("decimal(2,1)")).cast("double").alias("coverage"))
+    return brief.gate(proposals, columns, 0.3)
+
+
 # Records
 
 
