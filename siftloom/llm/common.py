@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
@@ -64,3 +64,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
     nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("binary"))
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each class of its texts; ``classes`` has ``(key, root)`` of every text, key as in text_key.
+
+    The row with the least doc_id stays, one without only if its class has no other; among rows that share it, that
+    with the least hash. Rows of other classes stay whatever their doc_id.
+    """
+    row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), row.alias("row"))
+    of_text = docs.select(text_key().alias("key"), place.alias("place")).groupBy("key").agg(F.min("place").alias("place"))
+    first = of_text.join(classes, "key").groupBy("root").agg(F.min("place").alias("place")).select("place.row")
+    # As one struct, the columns of docs clash with no other.
+    rows = docs.select(row.alias("row"), F.struct("*").alias("doc"))
+    return rows.join(first, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, table, write_shared
+from .common import connected_components, one_of_each, table, text_key, write_shared
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a bucket that are compared in one cell; a cell holds two chunks at most.
@@ -234,11 +234,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Documents whose doc_id names their class; of repeated rows with one doc_id, one stays."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    # As one struct, the columns of docs clash with no other.
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("doc"))
-    return rows.join(found, F.col("id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["id"]).select("doc.*")
+    """One document of each class, that with the least id; documents of different classes may share an id or have none."""
+    classes = near_duplicates(docs.select(text_key().alias("doc_id"), "text"))
+    return one_of_each(docs, classes.select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")).distinct())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

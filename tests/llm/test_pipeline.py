@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 import corpus_pipeline
-from siftloom.llm import bpe, pii
+from siftloom.llm import bpe, pii, simhash
 
 
 def words(n, seed, vocabulary=3000):
@@ -64,3 +64,12 @@ def test_masks():
 
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "SimHash near-dedup", "PII", "mixing sources", "BPE"]
+
+
+def test_survivors_by_class(spark):
+    """Unlike texts stay, though they have no id or share one; a class whose least id another class has keeps a document."""
+    a, b, c, d = (words(80, 500 + i) for i in range(4))
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (8, d), (7, c), (9, b)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["text"], r["doc_id"]) for r in simhash.keep_one_of_each(df).collect())
+    assert got == sorted([(a, None), (b, 9), (c, 7), (d, 7)])
