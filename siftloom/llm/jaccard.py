@@ -1,0 +1,132 @@
+"""Near-duplicates by the Jaccard similarity of their shingles.
+
+Documents whose sets of ``SHINGLE``-word shingles have a similarity of ``LEAST`` or more are linked; a class is a
+connected component of links. Equal sets are one node. MinHash proposes pairs: ``BANDS`` buckets a document, keyed by
+``ROWS`` minima each, miss a pair at the threshold with probability (1 - 0.8^4)^32, 5 in 10^8. Every link is verified
+on the whole sets.
+
+Pairs of a bucket are not all compared: documents are compared with one hub of theirs, then with the other hubs not
+yet in their class, and at last with all members of their buckets that are in other classes, since a pair within a
+class changes nothing. A bucket of like documents costs in proportion to its size.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import connected_components, one_of_each, text_key, write_shared
+from .simhash import shingle_hashes
+
+SHINGLE, LEAST, BANDS, ROWS = 5, (4, 5), 32, 4
+#: Pairs of one hub that are verified together.
+PAIRS = 256
+_draw = np.random.default_rng(42)
+FACTOR = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFT = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text or b"", SHINGLE), np.uint64))
+
+
+def set_id(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes())
+
+
+def buckets(shingles: np.ndarray) -> np.ndarray:
+    """Key of each band; no shingles, no keys."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(shingles), 2048):
+        x = shingles[at : at + 2048, None] * FACTOR + SHIFT
+        x ^= x >> np.uint64(32)
+        least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+    bands = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], np.uint64).view(np.int64)
+
+
+def shingled(texts: DataFrame) -> DataFrame:
+    """``(key, sid, bits)`` of ``(key, text)``: the id of the set of shingles and its buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            sid = np.array([set_id(s) for s in sets], np.uint64).view(np.int64)
+            bits = pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sid), bits], ["key", "sid", "bits"])
+
+    return texts.mapInArrow(run, "key long, sid long, bits array<long>")
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``(sid, shingles)`` of ``(key, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                s = shingle_set(t)
+                sid = np.array([set_id(s)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["sid", "shingles"])
+
+    return texts.mapInArrow(run, "sid long, shingles array<long>").dropDuplicates(["sid"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b)`` that are as similar as LEAST. Pairs of one ``b`` are dealt over cells."""
+    cells = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("n"))
+    cells = write_shared(cells, "cells")
+    dealt = pairs.join(cells, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("n")).cast("int").alias("x"))
+    right = sets.join(cells, F.col("sid") == F.col("b")).select("b", F.explode(F.expr("sequence(0, n - 1)")).alias("x"), F.col("shingles").alias("t"))
+    both = dealt.join(right, ["b", "x"]).join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("s")), "a")
+    shared = F.size(F.array_intersect("s", "t"))
+    up, down = LEAST
+    fits = (down * F.size("s") >= up * F.size("t")) & (down * F.size("t") >= up * F.size("s"))
+    return both.where(fits).where(down * shared >= up * (F.size("s") + F.size("t") - shared)).select("a", "b")
+
+
+def link_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, root)`` of the sets ``(sid, key, bits)`` that are linked to another."""
+    rows = nodes.select("sid", "key", F.explode("bits").alias("bits"))
+    # The hub is the member whose id, mixed with the bucket's key, is least: another one in each bucket.
+    hubs = rows.groupBy("bits").agg(F.count("*").alias("n"), F.min(F.expr("sid ^ bits")).alias("least")).where("n > 1")
+    members = write_shared(rows.join(hubs, "bits").select("bits", "sid", "key", F.expr("least ^ bits").alias("hub")), "bucket-members")
+    texts = docs.select(text_key().alias("key"), F.col("text").cast("binary").alias("text"))
+    sets = write_shared(shingle_sets(texts.join(members.select("key").distinct(), "key", "left_semi")), "shingle-sets")
+    one = members.where("sid <> hub").groupBy("sid").agg(F.min("hub").alias("hub"))
+    links = write_shared(verified(one.select(F.col("sid").alias("a"), F.col("hub").alias("b")), sets), "links")
+    for through_hubs in (True, False):
+        roots = connected_components(links)
+        placed = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("bits", "sid", "hub", F.coalesce("root", "sid").alias("root"))
+        if through_hubs:
+            of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+            apart = placed.join(of_hub, "hub", "left").where(F.col("root") != F.coalesce("hub_root", "hub"))
+            more = apart.select(F.col("sid").alias("a"), F.col("hub").alias("b"))
+        else:
+            mixed = placed.groupBy("bits").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bits")
+            mixed = write_shared(placed.join(mixed, "bits").select("bits", "sid", "root"), "mixed-buckets")
+            other = mixed.select("bits", F.col("sid").alias("b"), F.col("root").alias("other"))
+            more = mixed.withColumnRenamed("sid", "a").join(other, "bits").where("root < other").select("a", "b")
+        more = write_shared(more.distinct(), "pairs")
+        links = write_shared(links.union(verified(more, sets)), "links")
+    return connected_components(links)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Class of every text: ``(key, root)``, key as text_key gives it. Texts without a word are one class."""
+    texts = docs.select(text_key().alias("key"), F.col("text").cast("binary").alias("text"))
+    rows = write_shared(shingled(texts), "shingled").dropDuplicates(["key"])
+    nodes = write_shared(rows.groupBy("sid").agg(F.min("key").alias("key"), F.first("bits").alias("bits")), "distinct-sets")
+    roots = link_sets(docs, nodes)
+    return rows.select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", F.coalesce("root", "sid").alias("root"))
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each class, that with the least id; documents of different classes may share an id or have none."""
+    return one_of_each(docs, near_duplicates(docs))

@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 import corpus_pipeline
-from siftloom.llm import bpe, pii, simhash
+from siftloom.llm import bpe, jaccard, pii, simhash
 
 
 def words(n, seed, vocabulary=3000):
@@ -73,3 +73,36 @@ def test_survivors_by_class(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r["text"], r["doc_id"]) for r in simhash.keep_one_of_each(df).collect())
     assert got == sorted([(a, None), (b, 9), (c, 7), (d, 7)])
+
+
+def classes(texts):
+    """Components of 5-word Jaccard 0.8, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s == sets[j] or 5 * len(s & sets[j]) >= 4 * len(s | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
+def test_near_duplicates_are_those_of_jaccard(spark, tmp_path):
+    """The stage keeps the first of each class of brute force: pairs near 0.8 on both sides, and copies of one text."""
+    r, texts = random.Random(3), [words(120, 900 + i) for i in range(12)]
+    for i in range(90):
+        w = texts[i % 12 if i < 60 else 0].split()
+        for at in r.sample(range(120), r.choice([1, 1, 2, 2, 3, 4]) if i < 60 else 3):
+            w[at] = f"new{i}"
+        texts.append(" ".join(w))
+    texts += ["", None, "A b", "a  B", texts[3].upper()]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    root = classes([t or "" for t in texts])
+    assert 12 < len(set(root)) < len(texts) - 20
+    got = sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == sorted(set(root))
+    again = sorted(x["doc_id"] for x in jaccard.keep_one_of_each(df.repartition(7)).collect())
+    assert again == got
