@@ -5,7 +5,8 @@ estimated from the corpus as pointwise mutual information over the entity's own
 ``log2(N df(e,t) / (df(e) df(t))) / log2(N / df(e))``: 1 if ``t`` occurs with ``e`` only, 0 if they are independent.
 Here df counts documents, and df(e,t) those with ``t`` in the context of ``e`` (the words wholly within ``REACH``
 characters of it, ``WINDOW`` a side at most). A pair counts if it occurs in ``SUPPORT`` different contexts, so that
-copies of one passage are one piece of evidence. Terms at ``GENERALISE`` or above are generalised wherever they
+copies of one passage are one piece of evidence: contexts that share ``COPY`` of their terms or more, the term itself
+left out, are copies. In the order of their hashes, a context that is no copy of those taken before is taken. Terms at ``GENERALISE`` or above are generalised wherever they
 occur, at ``REMOVE`` or above removed.
 """
 
@@ -26,6 +27,8 @@ from .common import table, write_shared
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, REACH, SUPPORT, GENERALISE, REMOVE = 8, 160, 3, 0.8, 0.95
+#: Jaccard similarity of the terms of two contexts from which they are copies of one passage.
+COPY = 0.5
 #: Bits of the filter of hashed terms that workers get: its size, 1 MB, does not depend on the corpus.
 FILTER_BITS = 1 << 23
 
@@ -108,18 +111,22 @@ def context(text: str, start: int, end: int, own: list[tuple[str, int, int]]) ->
     return left + [t for x, t in found if x >= end][:WINDOW]
 
 
-def evidence(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int]]:
-    """``(entity, term, context)`` once for each pair of the document; term "" stands for the entity itself.
+def evidence(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list[str], list[str]]]:
+    """``(entity, terms, new)`` of each context: its terms in order, and those the document has not shown beside the entity.
 
-    A context is known by the least hash of its terms, so that near copies of a passage mostly agree on it.
+    The term "" stands for the entity itself. Contexts that a document repeats are given once.
     """
-    out: dict[tuple[str, str], int] = {}
+    out: list[tuple[str, list[str], list[str]]] = []
+    known: dict[str, set[str]] = {}
+    given: set[tuple[str, ...]] = set()
     for kind, a, b in spans:
-        terms = context(text, a, b, spans)
-        e, c = entity(kind, text[a:b]), min((xxhash.xxh64_intdigest(t) >> 1 for t in terms), default=0)
-        for t in ("", *terms):
-            out.setdefault((e, t), c)
-    return [(e, t, c) for (e, t), c in out.items()]
+        e, terms = entity(kind, text[a:b]), sorted({"", *context(text, a, b, spans)})
+        if (e, *terms) not in given:
+            given.add((e, *terms))
+            seen = known.setdefault(e, set())
+            out.append((e, terms[1:], [t for t in terms if t not in seen]))
+            seen.update(terms)
+    return out
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -142,13 +149,13 @@ def find_base(docs: DataFrame) -> DataFrame:
                     counts[k].append(sum(x[0] == kind for x in spans))
                 sha.append(hashlib.sha256(s.encode()).hexdigest())
                 said.append(s)
-                seen.append([{"e": e, "t": t, "c": c} for e, t, c in evidence(text, spans)] if spans else [])
-            kind = pa.list_(pa.struct([("e", pa.string()), ("t", pa.string()), ("c", pa.int64())]))
+                seen.append([{"e": e, "terms": t, "new": new} for e, t, new in evidence(text, spans)] if spans else [])
+            kind = pa.list_(pa.struct([("e", pa.string()), ("terms", pa.list_(pa.string())), ("new", pa.list_(pa.string()))]))
             cols = [b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in counts], pa.array(sha, pa.string()), pa.array(said, pa.string()), pa.array(seen, kind)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "seen"])
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return with_key(docs).mapInArrow(run, f"doc_id long, key long, {counts}, base_sha256 string, spans string, seen array<struct<e: string, t: string, c: long>>")
+    return with_key(docs).mapInArrow(run, f"doc_id long, key long, {counts}, base_sha256 string, spans string, seen array<struct<e: string, terms: array<string>, new: array<string>>>")
 
 
 def term_filter(terms: DataFrame) -> np.ndarray:
@@ -190,11 +197,28 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.join(terms, "term", "left_semi")
 
 
+def supported(pairs: DataFrame) -> DataFrame:
+    """Pairs ``(e, t)`` with SUPPORT contexts of which none is a copy of another; ``pairs`` has ``(e, t, others)``."""
+    rows = pairs.withColumn("c", F.xxhash64("others")).groupBy("e", "t", "c").agg(F.first("others").alias("others"))
+    rows = write_shared(rows, "contexts")
+    # Fewer contexts than SUPPORT need no comparison.
+    many = rows.groupBy("e", "t").count().where(F.col("count") >= SUPPORT).select("e", "t")
+    rows = write_shared(rows.join(many, ["e", "t"]), "contexts")
+    for _ in range(SUPPORT - 1):
+        taken = rows.groupBy("e", "t").agg(F.min("c").alias("c"))
+        taken = taken.join(rows, ["e", "t", "c"]).select("e", "t", F.col("others").alias("first"))
+        shared, all_terms = F.size(F.array_intersect("others", "first")), F.size(F.array_union("others", "first"))
+        rows = write_shared(rows.join(taken, ["e", "t"]).where(shared < COPY * all_terms).drop("first"), "contexts")
+    return rows.select("e", "t").distinct()
+
+
 def revealing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     """``(term, disclosure)`` of terms at the threshold or above; disclosure is the highest over the entities."""
-    seen = base.select(F.explode("seen").alias("s")).groupBy("s.e", "s.t", "s.c").agg(F.count("*").alias("n"))
-    pairs = write_shared(seen.groupBy("e", "t").agg(F.sum("n").alias("both"), F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT), "pairs")
-    entities, beside = pairs.where("t = ''").select("e", F.col("both").alias("df_e")), pairs.where("t <> ''")
+    seen = base.select(F.explode("seen").alias("s")).select("s.*")
+    both = write_shared(seen.select("e", F.explode("new").alias("t")).groupBy("e", "t").agg(F.count("*").alias("both")), "pairs")
+    entities = both.where("t = ''").select("e", F.col("both").alias("df_e"))
+    pairs = seen.select("e", F.explode("terms").alias("t"), "terms").select("e", "t", F.array_remove("terms", F.col("t")).alias("others"))
+    beside = write_shared(both.join(supported(pairs), ["e", "t"], "left_semi"), "supported")
     terms = write_shared(beside.select(F.col("t").alias("term")).distinct(), "terms")
     if terms.isEmpty():
         return docs.sparkSession.createDataFrame([], "term string, disclosure double")
