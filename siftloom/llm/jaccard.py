@@ -26,6 +26,8 @@ from .simhash import shingle_hashes
 SHINGLE, LEAST, BANDS, ROWS = 5, (4, 5), 32, 4
 #: Pairs of one hub that are verified together.
 PAIRS = 256
+#: Texts whose sets a worker holds at a time.
+AT_A_TIME = 128
 _draw = np.random.default_rng(42)
 FACTOR = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFT = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -52,11 +54,18 @@ def buckets(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], np.uint64).view(np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: sets of long texts are large."""
+    for b in batches:
+        for at in range(0, b.num_rows, AT_A_TIME):
+            yield b.slice(at, AT_A_TIME)
+
+
 def shingled(texts: DataFrame) -> DataFrame:
     """``(key, sid, bits)`` of ``(key, text)``: the id of the set of shingles and its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             sid = np.array([set_id(s) for s in sets], np.uint64).view(np.int64)
             bits = pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))
@@ -69,11 +78,10 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     """``(sid, shingles)`` of ``(key, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(1).to_pylist():
-                s = shingle_set(t)
-                sid = np.array([set_id(s)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["sid", "shingles"])
+        for b in slices(batches):
+            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            sid = np.array([set_id(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["sid", "shingles"])
 
     return texts.mapInArrow(run, "sid long, shingles array<long>").dropDuplicates(["sid"])
 
@@ -91,14 +99,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(fits).where(down * shared >= up * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
 
-def link_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, root)`` of the sets ``(sid, key, bits)`` that are linked to another."""
-    rows = nodes.select("sid", "key", F.explode("bits").alias("bits"))
+def link_sets(docs: DataFrame, texts_of: DataFrame) -> DataFrame:
+    """``(node, root)`` of the sets that are linked to another; ``texts_of`` has ``(key, sid, bits)`` of every text."""
+    rows = texts_of.select("sid", "key", F.explode("bits").alias("bits"))
     # The hub is the member whose id, mixed with the bucket's key, is least: another one in each bucket.
-    hubs = rows.groupBy("bits").agg(F.count("*").alias("n"), F.min(F.expr("sid ^ bits")).alias("least")).where("n > 1")
-    members = write_shared(rows.join(hubs, "bits").select("bits", "sid", "key", F.expr("least ^ bits").alias("hub")), "bucket-members")
+    mixed = F.expr("sid ^ bits")
+    hubs = rows.groupBy("bits").agg(F.min(mixed).alias("least"), F.max(mixed).alias("most")).where("least <> most").select("bits", "least")
+    members = rows.join(hubs, "bits").groupBy("bits", "sid", F.expr("least ^ bits").alias("hub")).agg(F.min("key").alias("key"))
+    members = write_shared(members, "bucket-members")
     texts = docs.select(text_key().alias("key"), F.col("text").cast("binary").alias("text"))
-    sets = write_shared(shingle_sets(texts.join(members.select("key").distinct(), "key", "left_semi")), "shingle-sets")
+    keys = members.groupBy("sid").agg(F.min("key").alias("key")).select("key")
+    sets = write_shared(shingle_sets(texts.join(keys, "key", "left_semi")), "shingle-sets")
     one = members.where("sid <> hub").groupBy("sid").agg(F.min("hub").alias("hub"))
     links = write_shared(verified(one.select(F.col("sid").alias("a"), F.col("hub").alias("b")), sets), "links")
     for through_hubs in (True, False):
@@ -121,10 +132,9 @@ def link_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Class of every text: ``(key, root)``, key as text_key gives it. Texts without a word are one class."""
     texts = docs.select(text_key().alias("key"), F.col("text").cast("binary").alias("text"))
-    rows = write_shared(shingled(texts), "shingled").dropDuplicates(["key"])
-    nodes = write_shared(rows.groupBy("sid").agg(F.min("key").alias("key"), F.first("bits").alias("bits")), "distinct-sets")
-    roots = link_sets(docs, nodes)
-    return rows.select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", F.coalesce("root", "sid").alias("root"))
+    rows = write_shared(shingled(texts), "shingled")
+    roots = link_sets(docs, rows)
+    return rows.select("key", "sid").distinct().join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", F.coalesce("root", "sid").alias("root"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
