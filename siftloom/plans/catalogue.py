@@ -299,7 +299,7 @@ def pagination_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = nodes_of(pages)
     ahead = navigation.next_pages(nodes, pages).select("page_id", F.col("url").alias("next_url")).join(pages.select("page_id", "url"), "page_id")
     starts = spark.createDataFrame([(1, "http://customers.example.com/list?page=1")], "source_id long, url string")
-    reached = navigation.crawl(pages, ahead, starts, max_pages=1000)
+    reached = navigation.crawl(pages, ahead, starts, max_pages=None)
     items = css.select(nodes, "ul > li").join(pages.select("page_id", "url"), "page_id").join(reached, "url")
     return items.select(F.col("sub_text").cast("long").alias("c_custkey"))
 

@@ -6,7 +6,7 @@ import pytest
 
 from siftloom.config import Config
 from siftloom.operators import css, navigation, structured, tables
-from siftloom.plans import sinks
+from siftloom.plans import catalogue, sinks
 from siftloom.plans.extract import nodes_of, process
 from siftloom.sources.html import rows
 
@@ -89,3 +89,22 @@ def test_config():
     assert c.options().fields == {"name": {"selector": "h2"}} and c.merged({"pagination": {"max_pages": 3}}).pagination.max_pages == 3
     with pytest.raises(ValueError):
         Config.model_validate({"nonsense": 1})
+
+
+def test_crawl_without_a_bound(spark):
+    """A chain is followed to its end, past any number of pages; a circle ends."""
+    n = 40
+    archive = spark.createDataFrame([(f"u{i}",) for i in range(n)], "url string")
+    links = spark.createDataFrame([(f"u{i}", f"u{(i + 1) % n}") for i in range(n)], "url string, next_url string")
+    starts = spark.createDataFrame([(1, "u0")], "source_id long, url string")
+    got = navigation.crawl(archive, links, starts, max_pages=None).collect()
+    assert sorted((r["depth"], r["url"]) for r in got) == [(i, f"u{i}") for i in range(n)]
+    assert navigation.crawl(archive, links, starts, max_pages=3).count() == 3
+
+
+def test_pagination_chain_has_no_bound(spark, tmp_path, monkeypatch):
+    bounds, crawl = [], navigation.crawl
+    monkeypatch.setattr(navigation, "crawl", lambda *a, max_pages=25: bounds.append(max_pages) or crawl(*a, max_pages=max_pages))
+    spark.range(1, 251).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = catalogue.pagination_chain(spark, str(tmp_path))
+    assert bounds == [None] and sorted(r["c_custkey"] for r in got.collect()) == list(range(1, 251))
