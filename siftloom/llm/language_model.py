@@ -1,12 +1,18 @@
 """Language-model scores: exact unigram base, and a hashed maximum-entropy model with class-factored softmax.
 
-A word's probability is that of its class in its context times that of the word in its class. The class factor is a softmax over
-``CLASSES`` classes of summed weights of hashed features: the word before, the two words before (n-grams), the words two and three back (skips). The word factor
-is the class's own unigram distribution, smoothed as the base is, with one place for unknown words; both factors sum to 1.
+A token's probability is that of its class in its context, times that of its slot in the class, times its word's share of the slot:
 
-Classes group word endings: their co-occurrence with the endings around them, counted over all training documents, is
-clustered. Weights are trained by distributed gradient updates: in each round every task makes AdaGrad steps from the common weights over
-its share of that round's documents, and the tasks' updates are averaged by their tokens in a tree. Rounds cover each training document once.
+- class: a softmax over ``CLASSES`` of summed weights of hashed features, which are the word before, the two words before (n-grams)
+  and the word two back (a skip). Trained by distributed gradient updates: every task makes AdaGrad steps from the common
+  weights over its share of a round's documents, and the tasks' weights are averaged by their tokens in a tree. The rounds
+  cover each training document once.
+- slot: a softmax over the class's ``SLOTS`` of a bias and a hashed feature of class and word before. One feature is active a token, so
+  the gradient, observed less expected counts, is a function of hashed counts: those are summed over all training documents, and the steps taken on the sums.
+- word: the most frequent words of a class have slots of their own; the others share the rest by hash, each with its smoothed share,
+  and unknown words have one share of each of these. All three factors sum to 1.
+
+Texts are read and split once. ``code_table`` keeps them as blocks: the distinct words of some documents by 64-bit hash, and each token as
+its place among those. All later passes read numbers. Classes group word endings by clustering what stands around them.
 
 Counts are exact and stay a table. The words above a count threshold, ``FREQUENT`` at most, go to the workers; other words of
 documents are joined to the table.
@@ -14,27 +20,30 @@ documents are joined to the table.
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, write_shared
 from .labels import fold
 
-CLASSES, UNITS, CONTEXTS, ROWS = 24, 4096, 256, 1 << 15
-FREQUENT, ROUNDS, STEP, RATE = 250_000, 2, 16_384, 0.15
+CLASSES, UNITS, CONTEXTS, ROWS = 32, 4096, 256, 1 << 16
+#: Slots of a class, those of them that words share, and rows of hashed words before for each class.
+SLOTS, SHARED, BEFORE = 64, 16, 2048
+FREQUENT, ROUNDS, STEP, RATE, RIDGE = 250_000, 2, 16_384, 0.15, 0.5
 SMOOTH = 0.1
+#: Tokens of a block, or one longer document.
+BLOCK = 65_536
 #: The end of a text is a token; no word is empty.
 END = b""
-BACK = 3
+BACK = 2
 
 
 def held_out(doc_id: Column) -> Column:
@@ -42,67 +51,124 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id, 10) == 0, F.lit(False))
 
 
-class Codes(dict):
-    """word to (hash of 16 bits, unit of its ending), as one number. Emptied when full."""
+def key_of(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 7)
+
+
+def unit_of(word: bytes) -> int:
+    """Number of a word's ending."""
+    ending = word.rstrip(b".,;:!?\"')")[-3:] if word else b"\xff"
+    return zlib.crc32(ending) & (UNITS - 1)
+
+
+class Places(dict):
+    """word to its place in the order of first use."""
 
     def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
+
+
+class Keys(dict):
+    """word to (key, unit). Emptied when full."""
+
+    def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) > 300_000:
             self.clear()
-        ending = word.rstrip(b".,;:!?\"')")[-3:] if word else b"\xff"
-        code = self[word] = (zlib.crc32(word) & 0xFFFF) << 12 | zlib.crc32(ending) & (UNITS - 1)
-        return code
+        found = self[word] = (key_of(word), unit_of(word))
+        return found
 
 
-class Logs(dict):
-    """word to the log of its smoothed count; of other words not a number."""
+CODES = "ids array<long>, learn binary, sizes binary, keys binary, units binary, codes binary"
 
-    def __missing__(self, word: bytes) -> float:
-        return math.nan
 
+def code_table(docs: DataFrame) -> DataFrame:
+    """Documents in blocks: their ids, whether they are learned from, their tokens; the block's words by key and unit; each token's place among the words."""
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Keys()
+        ids: list[int | None] = []
+        learn: list[bool] = []
+        sizes: list[int] = []
+        parts: list[np.ndarray] = []
+        places, held = Places(), 0
 
+        def flush() -> pa.RecordBatch:
+            found = [known[w] for w in places]
+            codes = np.concatenate(parts)
+            row = {
+                "ids": ids, "learn": np.array(learn, np.uint8).tobytes(), "sizes": np.array(sizes, np.int64).tobytes(), "keys": np.array([k for k, _ in found], np.uint64).tobytes(),
+                "units": np.array([u for _, u in found], np.uint16).tobytes(), "codes": (codes.astype(np.uint16) if len(places) <= 1 << 16 else codes).tobytes(),
+            }
+            kinds = [pa.list_(pa.int64()), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds)], list(row))
 
-@dataclass
-class Tokens:
-    """Tokens of some documents in a row, each document after BACK marks of a beginning."""
+        for b in batches:
+            for doc_id, taught, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                words = (text.as_py() or b"").lower().split()  # bytes: A-Z and ASCII white space only
+                words.append(END)
+                parts.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
+                ids.append(doc_id)
+                learn.append(taught)
+                sizes.append(len(words))
+                held += len(words)
+                if held >= BLOCK:
+                    yield flush()
+                    ids, learn, sizes, parts, places, held = [], [], [], [], Places(), 0
+        if ids:
+            yield flush()
 
-    hash: np.ndarray
-    unit: np.ndarray
-    at: np.ndarray  # places of the tokens proper
-    sizes: np.ndarray  # of the documents
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out(F.col("doc_id"))).alias("learn"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, CODES)
 
 
-def lay_out(docs: list[list[bytes]], codes: Codes) -> Tokens:
-    sizes = np.array([len(d) + 1 for d in docs], np.int64)
-    begins = np.cumsum(sizes + BACK) - sizes
-    flat = np.zeros(int((sizes + BACK).sum()), np.int64)
-    at = np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
-    flat[at] = np.fromiter(map(codes.__getitem__, chain.from_iterable(chain(d, (END,)) for d in docs)), np.int64, int(sizes.sum()))
-    return Tokens((flat >> 12).astype(np.uint32), flat & (UNITS - 1), at, sizes)
+@dataclass
+class Block:
+    """Some documents' tokens in a row."""
+
+    ids: list[int | None]
+    learn: np.ndarray  # by document
+    sizes: np.ndarray
+    keys: np.ndarray  # by word
+    units: np.ndarray
+    codes: np.ndarray  # by token, its word
+
+    def taught(self) -> Block:
+        """The block without the documents that are not learned from."""
+        if self.learn.all():
+            return self
+        return Block([], self.learn[self.learn], self.sizes[self.learn], self.keys, self.units, self.codes[np.repeat(self.learn, self.sizes)])
+
+    def back(self, k: int) -> np.ndarray:
+        """The word k tokens before each, in the document; before its beginning, the place after the words."""
+        starts = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        at = np.arange(len(self.codes)) - k
+        return np.where(at >= starts, self.codes[np.maximum(at, 0)], len(self.keys))
+
+    def hashes(self) -> np.ndarray:
+        """32 bits of each word's key, and of the beginning."""
+        return np.r_[self.keys & np.uint64(0xFFFFFFFF), np.uint64(0)].astype(np.uint32)
+
+
+def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for b in batches:
+        columns = [b.column(i) for i in range(6)]
+        for i in range(b.num_rows):
+            raw = [c[i].as_buffer() for c in columns[1:]]
+            kinds = [np.uint8, np.int64, np.uint64, np.uint16]
+            learn, sizes, keys, units = (np.frombuffer(x, k) for x, k in zip(raw, kinds))
+            codes = np.frombuffer(raw[4], np.uint16 if len(keys) <= 1 << 16 else np.uint32).astype(np.int64)
+            yield Block(columns[0][i].as_py(), learn.astype(bool), sizes, keys, units.astype(np.int64), codes)
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: int, most: int = 200_000) -> Iterator[tuple[int, int, pa.RecordBatch, list[list[bytes]]]]:
-    """Documents in runs of about so many words: ``first row, end row, batch, words``."""
-    for b in batches:
-        held, n, first = [], 0, 0
-        for i, text in enumerate(b.column(column)):
-            words = words_of(text.as_py())
-            held.append(words)
-            n += len(words)
-            if n >= most:
-                yield first, i + 1, b, held
-                held, n, first = [], 0, i + 1
-        if held:
-            yield first, b.num_rows, b, held
+def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """Hash of 16 bits."""
+    return ((x * np.uint32(2654435761) + np.uint32(salt)) * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.uint16)
 
 
-def feature_rows(t: Tokens, at: np.ndarray) -> list[np.ndarray]:
-    """The weight rows of each feature of the tokens at some places."""
-    h = [t.hash[at - k] for k in range(1, BACK + 1)]
-    mix = lambda x, salt: ((x * np.uint32(2654435761) + np.uint32(salt)) * np.uint32(0x85EBCA6B) >> np.uint32(17)).astype(np.uint16)
-    return [mix(h[0], 1), mix(h[0] * np.uint32(0x9E3779B1) ^ h[1], 2), mix(h[1], 3), mix(h[2], 4)]
+def feature_rows(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+    """The weight rows of each feature, from the hashes of the word before and of that two back."""
+    return [mixed(one, 1), mixed(one * np.uint32(0x9E3779B1) ^ two, 2), mixed(two, 3)]
 
 
 def probabilities(w: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -117,68 +183,84 @@ def probabilities(w: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np
     return z
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+def count_words(coded: DataFrame) -> DataFrame:
+    """``(key long, unit int, c long)`` of the words over all training documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in read_blocks(batches):
+            t = block.taught()
+            n = np.bincount(t.codes, minlength=len(t.keys))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(t.keys[some].view(np.int64)), pa.array(t.units[some].astype(np.int32)), pa.array(n[some])], ["key", "unit", "c"])
 
-def training(docs: DataFrame) -> DataFrame:
-    return rows_of(docs.where(~held_out(F.col("doc_id"))))
+    return coded.mapInArrow(run, "key long, unit int, c long").groupBy("key").agg(F.max("unit").alias("unit"), F.sum("c").alias("c"))
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """``(word binary, c long)`` over all training documents; the end has the empty word."""
+def reduced(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], bytes], add: Callable[[bytes, bytes], bytes]) -> bytes | None:
+    """What the tasks make, added up in a tree on the executors; none without tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[bytes] = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array([make(batches)], pa.binary())], ["a"])
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "c"])
-            n.clear()
-            return out
-
-        for _, _, _, held in runs(batches, 1):
-            for words in held:
-                n.update(words)
-            n[END] += len(held)
-            if len(n) > 400_000:
-                yield flush()
-        if n:
-            yield flush()
+    parts = rows.mapInArrow(run, "a binary").rdd.map(lambda r: bytes(r[0]))
+    return parts.treeReduce(add, depth=3) if parts.getNumPartitions() else None
 
-    return training(docs).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+class Tally:
+    """Counts of a large array's cells: cells are noted, and counted many at a time."""
 
-def reduced(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
-    """Sum over the tasks of an array of fixed size, added up in a tree on the executors."""
+    def __init__(self, size: int) -> None:
+        self.counts, self.held, self.n = np.zeros(size, np.int64), [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([make(batches).astype(np.float32).tobytes()], pa.binary())], ["a"])
+    def note(self, cells: np.ndarray) -> None:
+        self.held.append(cells)
+        self.n += len(cells)
+        if self.n > 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            cells, n = np.unique(np.concatenate(self.held), return_counts=True)
+            self.counts[cells] += n
+        self.held, self.n = [], 0
+
+    def packed(self) -> bytes:
+        self.flush()
+        return pack(self.counts)
 
-    add = lambda a, b: (np.frombuffer(a, np.float32) + np.frombuffer(b, np.float32)).tobytes()
-    parts = docs.mapInArrow(run, "a binary").rdd.map(lambda r: bytes(r[0]))
-    if not parts.getNumPartitions():
-        return np.zeros(size, np.float32)
-    return np.frombuffer(parts.treeReduce(add, depth=3), np.float32).copy()
 
+def pack(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
 
-def cooccurrence(docs: DataFrame) -> np.ndarray:
-    """How often each unit stands beside or two from each context, UNITS by CONTEXTS."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        codes, out = Codes(), np.zeros(UNITS * CONTEXTS)
-        for _, _, _, held in runs(batches, 1):
-            t = lay_out(held, codes)
+def unpack(raw: bytes | None, size: int) -> np.ndarray:
+    return np.zeros(size, np.int64) if raw is None else np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.int64)
+
+
+def add_counts(a: bytes, b: bytes) -> bytes:
+    return pack(unpack(a, 0) + unpack(b, 0))
+
+
+def cooccurrence(coded: DataFrame) -> np.ndarray:
+    """How often each unit stands beside or two from each context, UNITS by CONTEXTS, over the training documents."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> bytes:
+        out = Tally(UNITS * CONTEXTS)
+        for block in read_blocks(batches):
+            t = block.taught()
+            units = np.r_[t.units, 0]
+            here = units[t.codes]
             for k in (1, 2):
-                before, here = t.unit[t.at - k], t.unit[t.at]
-                for a, b in ((here, before), (before, here)):
-                    out += np.bincount(a * CONTEXTS + b % CONTEXTS, minlength=len(out))
-        return out
+                before = units[t.back(k)]
+                out.note(here * CONTEXTS + before % CONTEXTS)
+                out.note(before * CONTEXTS + here % CONTEXTS)
+        return out.packed()
 
-    return reduced(training(docs), make, UNITS * CONTEXTS).reshape(UNITS, CONTEXTS)
+    return unpack(reduced(coded, make, add_counts), UNITS * CONTEXTS).reshape(UNITS, CONTEXTS)
 
 
 def cluster(counts: np.ndarray, classes: int = CLASSES, rounds: int = 30) -> np.ndarray:
-    """Class of each unit, the last class being the end's own: k-means of the square roots of the contexts' shares."""
+    """Class of each unit, the last class being the end's own: k-means of the logs of the contexts' lifts, weighted by use."""
     out = np.arange(UNITS) % (classes - 1)
     total = counts.sum(axis=1)
     seen = np.flatnonzero(total > 0)
@@ -198,76 +280,160 @@ def cluster(counts: np.ndarray, classes: int = CLASSES, rounds: int = 30) -> np.
                     m = (x[own == c] * weight[own == c, None]).sum(axis=0)
                     centres[c] = m / max(np.linalg.norm(m), 1e-12)
         out[seen] = (x @ centres.T).argmax(axis=1)
-    out[Codes()[END] & (UNITS - 1)] = classes - 1
+    out[unit_of(END)] = classes - 1
     return out
 
 
 @dataclass
-class Model:
-    class_of: np.ndarray  # of units
-    weights: np.ndarray  # ROWS by CLASSES
-    bias: np.ndarray
-    log_total: np.ndarray  # log10 of each class's smoothed token total
+class Vocabulary:
+    """Class and slot of every word."""
 
+    class_of: np.ndarray  # by unit
+    keys: np.ndarray  # of the words with a slot of their own, ascending
+    slots: np.ndarray  # theirs
+
+    def place(self, keys: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and slot of words: its own, or one of the class's shared ones by hash."""
+        shared = (keys >> np.uint64(40)).astype(np.int64) % SHARED + SLOTS - SHARED
+        if not len(self.keys):
+            return self.class_of[units], shared
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.class_of[units], np.where(self.keys[at] == keys, self.slots[at], shared)
+
+
+def vocabulary(class_of: np.ndarray, keys: np.ndarray, units: np.ndarray, c: np.ndarray) -> Vocabulary:
+    """Slots of their own for the most frequent of some words in each class."""
+    order = np.lexsort((keys, -c))
+    keys, classes = keys[order], class_of[units[order]]
+    picked = np.concatenate([np.flatnonzero(classes == k)[: SLOTS - SHARED] for k in range(CLASSES)])
+    rank = np.concatenate([np.arange(min(SLOTS - SHARED, (classes == k).sum())) for k in range(CLASSES)])
+    up = np.argsort(keys[picked])
+    return Vocabulary(class_of, keys[picked][up], rank[up])
+
+
+def slot_rows(classes: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Weight row of the slot factor's feature: the class, and the word before by hash."""
+    return classes * BEFORE + (mixed(one, 5) & (BEFORE - 1))
+
+
+def slot_counts(coded: DataFrame, words: Vocabulary) -> np.ndarray:
+    """How often each slot follows each word before, by row of the slot factor, over the training documents."""
+    sent = coded.sparkSession.sparkContext.broadcast(words)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> bytes:
+        out = Tally(CLASSES * BEFORE * SLOTS)
+        for block in read_blocks(batches):
+            t = block.taught()
+            classes, slots = sent.value.place(t.keys, t.units)
+            rows = slot_rows(classes[t.codes], t.hashes()[t.back(1)])
+            out.note(rows * SLOTS + slots[t.codes])
+        return out.packed()
+
+    return unpack(reduced(coded, make, add_counts), CLASSES * BEFORE * SLOTS).reshape(-1, SLOTS)
+
+
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=-1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
+
+
+def fit_slots(counts: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Log probabilities of the slots by row: gradient steps, scaled by the curvature, on the penalised likelihood of the counts.
+
+    A row's weights are its class's bias, that of the smoothed counts of all its rows, and its own feature's, drawn to 0 by RIDGE.
+    """
+    of_class = counts.reshape(-1, BEFORE, SLOTS).sum(axis=1) + SMOOTH
+    bias = np.repeat(np.log(of_class / of_class.sum(axis=1, keepdims=True)), BEFORE, axis=0).astype(np.float32)
+    some = np.flatnonzero(counts.any(axis=1))
+    for at in range(0, len(some), 4096):
+        r = some[at : at + 4096]
+        n, b = counts[r].astype(np.float32), bias[r]
+        total, w = n.sum(axis=1, keepdims=True), np.zeros_like(b)
+        for _ in range(rounds):
+            p = np.exp(log_softmax(b + w))
+            step = (n - total * p - RIDGE * w) / (total * p * (1 - p) + RIDGE)
+            w += 0.5 * np.clip(step, -2, 2)
+        bias[r] = b + w
+    return log_softmax(bias).astype(np.float32)
+
+
+def sum_rows(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and the sums of g over each."""
+    order = np.argsort(rows, kind="stable")
+    s = rows[order]
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    return s[first], np.add.reduceat(g[order], first, axis=0)
+
+
+def train_classes(coded: DataFrame, words: Vocabulary, tokens_of: np.ndarray) -> np.ndarray:
+    """Weights of the class factor after ROUNDS rounds; the last row is the bias, at first the logs of the classes' tokens."""
+    sc = coded.sparkSession.sparkContext
+    state = np.zeros((ROWS + 1, CLASSES), np.float32)
+    state[ROWS] = np.log((tokens_of + SMOOTH) / (tokens_of + SMOOTH).sum())
 
-def train(docs: DataFrame, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias after ROUNDS rounds."""
-    sc = docs.sparkSession.sparkContext
-    state = np.zeros((ROWS + 1) * CLASSES, np.float32)
     for k in range(ROUNDS):
-        sent = sc.broadcast((state, class_of))
-
-        def make(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            common, classes = sent.value
-            w = common.reshape(ROWS + 1, CLASSES).copy()
-            squares, step = np.full_like(w, 1e-4), np.empty_like(w)
-            codes, tokens = Codes(), 0
-            for _, _, _, held in runs(batches, 1):
-                t = lay_out(held, codes)
-                tokens += len(t.at)
-                for s in range(0, len(t.at), STEP):
-                    at = t.at[s : s + STEP]
-                    rows = feature_rows(t, at)
-                    g = probabilities(w, w[ROWS], rows)
-                    g[np.arange(len(at)), classes[t.unit[at]]] -= 1
+        sent = sc.broadcast((state, words))
+
+        def make(batches: Iterator[pa.RecordBatch], k: int = k) -> bytes:
+            common, vocab = sent.value
+            w, tokens = common.copy(), 0
+            squares = np.full_like(w, 1e-4)
+
+            def update(rows: np.ndarray | int, step: np.ndarray) -> None:
+                grown = squares[rows] + step * step
+                squares[rows] = grown
+                w[rows] -= np.float32(RATE) * step / np.sqrt(grown)
+
+            for n, block in enumerate(read_blocks(batches)):
+                if n % ROUNDS != k:
+                    continue
+                t = block.taught()
+                classes, _ = vocab.place(t.keys, t.units)
+                h, own = t.hashes(), classes[t.codes]
+                features = feature_rows(h[t.back(1)], h[t.back(2)])
+                tokens += len(own)
+                for s in range(0, len(own), STEP):
+                    rows = [f[s : s + STEP] for f in features]
+                    g = probabilities(w[:ROWS], w[ROWS], rows)
+                    g[np.arange(len(g)), own[s : s + STEP]] -= 1
                     g /= np.float32(64)
-                    # A class at a time: counting sums a column by rows several times faster than sorting the rows.
-                    idx, columns = np.concatenate(rows).astype(np.int64), np.ascontiguousarray(g.T, np.float64)
-                    for c in range(CLASSES):
-                        step[:ROWS, c] = np.bincount(idx, weights=np.tile(columns[c], len(rows)), minlength=ROWS)
-                    step[ROWS] = columns.sum(axis=1)
-                    squares += step * step
-                    w -= np.float32(RATE) * step / np.sqrt(squares)
-            return np.r_[(w.ravel() - common) * np.float32(tokens), np.float32(tokens)]
-
-        share = training(docs).where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(ROUNDS)) == k)
-        total = reduced(share, make, len(state) + 1)
-        if total[-1] > 0:
-            state = state + total[:-1] / total[-1]
+                    for f in rows:
+                        update(*sum_rows(f, g))
+                    update(ROWS, g.sum(axis=0))
+            return np.int64(tokens).tobytes() + (w - common).astype(np.float16).tobytes()
+
+        def add(a: bytes, b: bytes) -> bytes:
+            n, m = (int(np.frombuffer(x, np.int64, 1)[0]) for x in (a, b))
+            x, y = (np.frombuffer(v, np.float16, offset=8).astype(np.float32) for v in (a, b))
+            return np.int64(n + m).tobytes() + ((x * n + y * m) / max(1, n + m)).astype(np.float16).tobytes()
+
+        total = reduced(coded, make, add)
+        if total is not None:
+            state = state + np.frombuffer(total, np.float16, offset=8).astype(np.float32).reshape(state.shape)
         sent.unpersist()
-    w = state.reshape(ROWS + 1, CLASSES)
-    return w[:ROWS].copy(), w[ROWS].copy()
+    return state
 
 
-def class_totals(counts: DataFrame, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each class."""
+def slot_totals(counts: DataFrame, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each slot, by class."""
+    sent = counts.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v, codes = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64), Codes()
+        n, v = np.zeros(CLASSES * SLOTS, np.int64), np.zeros(CLASSES * SLOTS, np.int64)
         for b in batches:
-            c = class_of[np.fromiter((codes[w] & (UNITS - 1) for w in b.column(0).to_pylist()), np.int64, b.num_rows)]
-            np.add.at(n, c, b.column(1).to_numpy())
-            v += np.bincount(c, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], ["k", "n", "v"])
+            classes, slots = sent.value.place(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.int64))
+            np.add.at(n, classes * SLOTS + slots, b.column(2).to_numpy())
+            v += np.bincount(classes * SLOTS + slots, minlength=len(v))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n), pa.array(v)], ["k", "n", "v"])
 
-    n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for k, a, b in counts.mapInArrow(run, "k long, n long, v long").groupBy("k").agg(F.sum("n"), F.sum("v")).collect():
+    n, v = np.zeros(CLASSES * SLOTS, np.int64), np.zeros(CLASSES * SLOTS, np.int64)
+    for k, a, b in counts.select("key", "unit", "c").mapInArrow(run, "k long, n long, v long").groupBy("k").agg(F.sum("n"), F.sum("v")).collect():  # a row for each slot
         n[k], v[k] = a, b
-    return n, v
+    return n.reshape(CLASSES, SLOTS), v.reshape(CLASSES, SLOTS)
 
 
-def frequent_words(counts: DataFrame) -> tuple[dict[bytes, int], int]:
-    """The words with at least some count, FREQUENT at most, and that count."""
+def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Keys, ascending, units and counts of the words with at least some count, FREQUENT at most, and that count."""
     grade = F.floor(F.log2("c") * 8).cast("int")
     sizes = sorted(counts.groupBy(grade.alias("g")).count().collect(), reverse=True)  # 8 rows for each doubling
     held, least = 0, None
@@ -276,67 +442,91 @@ def frequent_words(counts: DataFrame) -> tuple[dict[bytes, int], int]:
             break
         held, least = held + n, g
     if least is None:
-        return {}, 1 << 62
-    rows = counts.where(grade >= least).collect()
-    return {bytes(r["word"]): r["c"] for r in rows}, min(r["c"] for r in rows)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 1 << 62
+    rows = counts.where(grade >= least).select("key", "unit", "c").toPandas()  # FREQUENT rows of three numbers
+    keys = rows["key"].to_numpy().view(np.uint64)
+    up = np.argsort(keys)
+    return keys[up], rows["unit"].to_numpy(np.int64)[up], rows["c"].to_numpy(np.int64)[up], int(rows["c"].min())
+
+
+@dataclass
+class Model:
+    words: Vocabulary
+    weights: np.ndarray  # of the class factor, the last row its bias
+    slots: np.ndarray  # log probabilities by row of the slot factor
+    log_total: np.ndarray  # log10 of each slot's smoothed token total, by class; 0 for a word's own slot
+
+    def token_scores(self, t: Block) -> np.ndarray:
+        """log10 of each token's probability, without the word's own smoothed count where its slot is shared."""
+        classes, slots = self.words.place(t.keys, t.units)
+        h, own, slot = t.hashes(), classes[t.codes], slots[t.codes]
+        one = h[t.back(1)]
+        features = feature_rows(one, h[t.back(2)])
+        out = self.slots[slot_rows(own, one), slot] / np.log(10) - self.log_total[own, slot]
+        for s in range(0, len(own), STEP):
+            p = probabilities(self.weights[:ROWS], self.weights[ROWS], [f[s : s + STEP] for f in features])
+            out[s : s + STEP] += np.log10(np.maximum(p[np.arange(len(p)), own[s : s + STEP]], np.float32(1e-30)))
+        return out
+
+
+def fit(coded: DataFrame, counts: DataFrame, frequent: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> Model:
+    """The model of the training documents of a code table."""
+    words = vocabulary(cluster(cooccurrence(coded)), *frequent[:3])
+    n, v = slot_totals(counts, words)
+    log_total = np.log10(n + SMOOTH * (v + 1))
+    log_total[:, : SLOTS - SHARED] = 0.0
+    return Model(words, train_classes(coded, words, n.sum(axis=1)), fit_slots(slot_counts(coded, words)), log_total)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of each row, held-out ones included.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row, held-out ones included.
 
     Null and empty texts are an end only. Repeated rows are learned from and scored each. Without training documents every token has
-    base probability 1 and the classes are even. No rows give no rows.
+    base probability 1, the classes and slots are even. No rows give no rows; further columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
-    counts = write_shared(count_words(docs), "word-counts")
+    coded = write_shared(code_table(docs), "token-codes")
+    counts = write_shared(count_words(coded), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    class_of = cluster(cooccurrence(docs))
-    weights, bias = train(docs, class_of)
-    n, v = class_totals(counts, class_of)
-    model = Model(class_of, weights, bias, np.log10(n + SMOOTH * (v + 1)))
-    known, least = frequent_words(counts)
-    sent = sc.broadcast((model, {w: float(np.log10(c + SMOOTH)) for w, c in known.items()}))
+    frequent = frequent_words(counts)
+    least = frequent[3]
+    sent = sc.broadcast((fit(coded, counts, frequent), frequent[0], frequent[2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs = sent.value
-        codes, logs = Codes(), Logs(logs)
-        kind = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
-        for first, end, b, held in runs(batches, 1):
-            t = lay_out(held, codes)
-            picked = np.empty(len(t.at))
-            for s in range(0, len(t.at), STEP):
-                at = t.at[s : s + STEP]
-                c = model.class_of[t.unit[at]]
-                p = probabilities(model.weights, model.bias, feature_rows(t, at))[np.arange(len(at)), c]
-                picked[s : s + STEP] = np.log10(np.maximum(p, np.float32(1e-30))) - model.log_total[c]
-            sums = np.add.reduceat(picked, np.cumsum(t.sizes) - t.sizes)
-            # Logs of the frequent words' counts; the others, not numbers here, are told by word.
-            each = np.fromiter(map(logs.__getitem__, chain.from_iterable(chain(d, (END,)) for d in held)), np.float64, int(t.sizes.sum()))
-            starts, unknown = np.cumsum(t.sizes) - t.sizes, np.isnan(each)
-            found = np.add.reduceat(np.where(unknown, 0.0, each), starts)
-            missing = np.add.reduceat(unknown.astype(np.int64), starts)
-            seen, rare = t.sizes - missing, [[] for _ in held]
-            at = np.flatnonzero(unknown)
+        model, keys, c = sent.value
+        logs = np.log10(np.r_[c, 1] + SMOOTH)
+        for t in read_blocks(batches):
+            starts = np.cumsum(t.sizes) - t.sizes
+            found = np.minimum(np.searchsorted(keys, t.keys), max(0, len(keys) - 1))
+            known = keys[found] == t.keys if len(keys) else np.zeros(len(t.keys), bool)
+            # Only words that share a slot have a share of it; those of the others are theirs alone.
+            _, slots = model.words.place(t.keys, t.units)
+            shares = slots >= SLOTS - SHARED
+            log_word = np.where(known, logs[found], 0.0)
+            token_known = known[t.codes]
+            sums = np.add.reduceat(model.token_scores(t) + np.where(shares, log_word, 0.0)[t.codes], starts)
+            base = np.add.reduceat(log_word[t.codes], starts)
+            seen = np.add.reduceat(token_known.astype(np.int64), starts)
+            # The others, told by key: each document's distinct ones with their number.
+            at = np.flatnonzero(~token_known)
             of = np.searchsorted(starts, at, "right") - 1
-            less: dict[int, Counter[bytes]] = {}
-            for d, i in zip(of.tolist(), (at - starts[of]).tolist()):
-                less.setdefault(d, Counter())[held[d][i] if i < len(held[d]) else END] += 1
-            for d, n in less.items():
-                rare[d] = [{"w": w, "n": k} for w, k in n.items()]
-            cols = [b.column(0).slice(first, end - first), pa.array(t.sizes), pa.array(seen), pa.array(found), pa.array(sums), pa.array(rare, kind)]
+            pairs, n = np.unique(of * len(t.keys) + t.codes[at], return_counts=True)
+            ends = np.searchsorted(pairs // len(t.keys), np.arange(len(starts) + 1)).astype(np.int32)
+            rare = pa.StructArray.from_arrays([pa.array(t.keys[pairs % len(t.keys)].view(np.int64)), pa.array(n)], ["key", "n"])
+            cols = [pa.array(t.ids, pa.int64()), pa.array(t.sizes), pa.array(seen), pa.array(base), pa.array(sums), pa.ListArray.from_arrays(pa.array(ends), rare)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "seen", "found", "model", "rare"])
 
-    shape = "doc_id long, n_tokens long, seen long, found double, model double, rare array<struct<w: binary, n: long>>"
-    scored = write_shared(rows_of(docs).mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()), "scored")
-    others = counts.where(F.col("c") < least)
-    rest = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.w").alias("word"), F.col("r.n").alias("n")).join(others, "word", "left")
+    shape = "doc_id long, n_tokens long, seen long, found double, model double, rare array<struct<key: long, n: long>>"
+    scored = write_shared(coded.mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()), "scored")
+    others = counts.where(F.col("c") < least).select("key", "c")
+    rest = scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.n").join(others, "key", "left")
     rest = rest.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_seen"))
     out = scored.drop("rare").join(rest, "row", "left")
-    logs = F.col("found") + F.coalesce("more", F.lit(0.0))
+    more = F.coalesce("more", F.lit(0.0))
     each = float(np.log10(total + SMOOTH * (distinct + 1)))
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("seen") + F.coalesce("more_seen", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (logs - F.col("n_tokens") * each).alias("base_score"), (logs + F.col("model")).alias("score"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("found") + more - F.col("n_tokens") * each).alias("base_score"), (F.col("model") + more).alias("score"),
     )
 
 

@@ -4,7 +4,6 @@ import hashlib
 import math
 import random
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -301,28 +300,3 @@ def test_quality_model(spark):
     got = {r["doc_id"]: r["score"] for r in quality_model.score_documents(docs, model).collect()}
     assert all((got[i] >= 0.7) == (i % 3 > 0) for i, _ in rows)
     assert quality_model.fit(docs, known.limit(0)).rules == ()
-
-
-def test_language_model(spark, monkeypatch):
-    monkeypatch.setattr(language_model, "FREQUENT", 50)  # the others go by the join
-    texts = [" ".join(f"{'ab'[i % 2]}{random.Random(i * 99 + k).randrange(60)}" for k in range(50)) for i in range(200)] + ["", None, "never Seen a1"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in language_model.score_documents(df).collect()}
-    tokens = {i: (t or "").lower().split() + [""] for i, t in enumerate(texts)}
-    learn = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in t)
-    n, v = sum(learn.values()), len(learn)
-    for i, t in tokens.items():
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in learn for w in t), n)
-        assert math.isclose(r["base_score"], sum(math.log10((learn[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
-    held = [r for r in got.values() if r["held_out"] and r["n_tokens"] > 9]
-    assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-
-
-def test_class_factors_sum_to_one():
-    codes = language_model.Codes()
-    t = language_model.lay_out([[b"a", b"b", b"c"], []], codes)
-    assert list(t.sizes) == [4, 1] and len(t.at) == 5
-    w = np.random.default_rng(0).normal(size=(language_model.ROWS, language_model.CLASSES)).astype(np.float32)
-    p = language_model.probabilities(w, np.zeros(language_model.CLASSES, np.float32), language_model.feature_rows(t, t.at))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
