@@ -204,28 +204,6 @@ def test_mixing(spark):
     assert mixed == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
 
 
-def test_quality_rules(spark):
-    texts = [words(60, 1), "a b c " * 40, words(200, 2, 8), "x y z\n" * 3 + words(60, 3), None, "a b c a b c d", LONG, "la la la la " * 20]
-    df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    for r in quality_rules.judge(df).collect():
-        t = texts[r["doc_id"]] or ""
-        w = t.split()
-        n = Counter(zip(w, w[1:], w[2:]))
-        again = {i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)}
-        lines = [x for x in t.split("\n") if x.strip()]
-        assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(again))
-
-
-def test_hosts_are_shrunk(spark):
-    good, bad = words(80, 1, 4000), "short"
-    rows = [(i, good if i % 20 else bad, f"h{i % 10}") for i in range(600)]
-    rows += [(1000 + i, bad if i % 20 else good, "spam") for i in range(100)] + [(2000, bad, "tiny"), (2001, good, "tiny")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = {r["doc_id"] for r in quality_rules.judge(df).where("kept").collect()}
-    assert not any(1000 <= i < 1100 for i in kept) and 2001 in kept and sum(i < 600 for i in kept) == 570
-    assert {r["doc_id"] for r in quality_rules.keep(df).collect()} == kept
-
-
 def test_top_k(spark):
     r = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(r.integers(-3, 4, (300, 6)) / 256)]
