@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftloom.llm import bpe, jaccard, mixing, pii, quality_rules
+from siftloom.llm import bpe, mixing, near_copies, pii, quality_rules
 from siftloom.llm.common import table, write_shared
 
 
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates (Jaccard similarity of five-word shingles), that with the least id."""
-    return jaccard.keep_one_of_each(docs)
+    return near_copies.keep_one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: Rows of one key from which a join deals it over salts.
+HOT_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,21 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(rows: DataFrame, other: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """Inner join on a key that a large part of ``rows`` may share and ``other`` has once each: dealt by key and salt.
+
+    Only keys with so many rows that one task would hold more than its share get salts, so ``other`` grows by a few rows.
+    """
+    total = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = write_shared(total.where(F.col("_n") > HOT_ROWS).select(key), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(other, key)
+    mark = hot.select(F.col(key).alias("_hot"))
+    spread = other.join(mark, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1))))).drop("_hot")
+    dealt = rows.join(mark, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))).drop("_hot")
+    return dealt.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Root of each node: ``(a long, b long)`` edges to ``(node, root)``, root the least node of the component.
 

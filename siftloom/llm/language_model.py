@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 from .common import table, write_shared
 from .labels import fold
 
-CLASSES, UNITS, CONTEXTS, ROWS = 32, 4096, 256, 1 << 16
+CLASSES, UNITS, CONTEXTS, ROWS = 24, 4096, 256, 1 << 16
 #: Slots of a class, those of them that words share, and rows of hashed words before for each class.
 SLOTS, SHARED, BEFORE = 64, 16, 2048
 FREQUENT, ROUNDS, STEP, RATE, RIDGE = 250_000, 2, 16_384, 0.15, 0.5
 SMOOTH = 0.1
 #: Tokens of a block, or one longer document.
-BLOCK = 65_536
+BLOCK = 131_072
 #: The end of a text is a token; no word is empty.
 END = b""
 BACK = 2
@@ -70,12 +70,12 @@ class Places(dict):
 
 
 class Keys(dict):
-    """word to (key, unit). Emptied when full."""
+    """word to its key and unit, as one number. Emptied when full."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 300_000:
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
             self.clear()
-        found = self[word] = (key_of(word), unit_of(word))
+        found = self[word] = key_of(word) << 12 | unit_of(word)
         return found
 
 
@@ -97,8 +97,8 @@ def code_table(docs: DataFrame) -> DataFrame:
             found = [known[w] for w in places]
             codes = np.concatenate(parts)
             row = {
-                "ids": ids, "learn": np.array(learn, np.uint8).tobytes(), "sizes": np.array(sizes, np.int64).tobytes(), "keys": np.array([k for k, _ in found], np.uint64).tobytes(),
-                "units": np.array([u for _, u in found], np.uint16).tobytes(), "codes": (codes.astype(np.uint16) if len(places) <= 1 << 16 else codes).tobytes(),
+                "ids": ids, "learn": np.array(learn, np.uint8).tobytes(), "sizes": np.array(sizes, np.int64).tobytes(), "keys": np.array([x >> 12 for x in found], np.uint64).tobytes(),
+                "units": np.array([x & (UNITS - 1) for x in found], np.uint16).tobytes(), "codes": (codes.astype(np.uint16) if len(places) <= 1 << 16 else codes).tobytes(),
             }
             kinds = [pa.list_(pa.int64()), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds)], list(row))
@@ -141,9 +141,12 @@ class Block:
 
     def back(self, k: int) -> np.ndarray:
         """The word k tokens before each, in the document; before its beginning, the place after the words."""
-        starts = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        at = np.arange(len(self.codes)) - k
-        return np.where(at >= starts, self.codes[np.maximum(at, 0)], len(self.keys))
+        out = np.empty_like(self.codes)
+        out[k:] = self.codes[: len(out) - k] if k < len(out) else out[k:]
+        starts = np.cumsum(self.sizes) - self.sizes
+        for i in range(k):
+            out[(starts + i)[self.sizes > i]] = len(self.keys)
+        return out
 
     def hashes(self) -> np.ndarray:
         """32 bits of each word's key, and of the beginning."""
@@ -177,9 +180,9 @@ def probabilities(w: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np
     for r in rows[1:]:
         z += np.take(w, r, axis=0, out=part, mode="clip")
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= np.einsum("ij->i", z)[:, None]
     return z
 
 
@@ -357,12 +360,18 @@ def fit_slots(counts: np.ndarray, rounds: int = 25) -> np.ndarray:
     return log_softmax(bias).astype(np.float32)
 
 
-def sum_rows(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows, and the sums of g over each."""
+def sum_rows(rows: np.ndarray, g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct rows, and the sums of g over each: those that occur once need none, and are given apart."""
     order = np.argsort(rows, kind="stable")
     s = rows[order]
     first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    return s[first], np.add.reduceat(g[order], first, axis=0)
+    n = np.diff(np.r_[first, len(s)])
+    once = n == 1
+    yield s[first[once]], np.take(g, order[first[once]], axis=0)
+    if not once.all():
+        several = order[np.repeat(~once, n)]
+        ends = np.cumsum(n[~once])
+        yield s[first[~once]], np.add.reduceat(np.take(g, several, axis=0), np.r_[0, ends[:-1]], axis=0)
 
 
 def train_classes(coded: DataFrame, words: Vocabulary, tokens_of: np.ndarray) -> np.ndarray:
@@ -379,10 +388,15 @@ def train_classes(coded: DataFrame, words: Vocabulary, tokens_of: np.ndarray) ->
             w, tokens = common.copy(), 0
             squares = np.full_like(w, 1e-4)
 
-            def update(rows: np.ndarray | int, step: np.ndarray) -> None:
-                grown = squares[rows] + step * step
+            def update(rows: np.ndarray, step: np.ndarray) -> None:
+                grown = np.take(squares, rows, axis=0)
+                grown += step * step
                 squares[rows] = grown
-                w[rows] -= np.float32(RATE) * step / np.sqrt(grown)
+                np.sqrt(grown, out=grown)
+                step = step * np.float32(-RATE)
+                step /= grown
+                step += np.take(w, rows, axis=0)
+                w[rows] = step
 
             for n, block in enumerate(read_blocks(batches)):
                 if n % ROUNDS != k:
@@ -398,8 +412,9 @@ def train_classes(coded: DataFrame, words: Vocabulary, tokens_of: np.ndarray) ->
                     g[np.arange(len(g)), own[s : s + STEP]] -= 1
                     g /= np.float32(64)
                     for f in rows:
-                        update(*sum_rows(f, g))
-                    update(ROWS, g.sum(axis=0))
+                        for part in sum_rows(f, g):
+                            update(*part)
+                    update(np.array([ROWS]), g.sum(axis=0, keepdims=True))
             return np.int64(tokens).tobytes() + (w - common).astype(np.float16).tobytes()
 
         def add(a: bytes, b: bytes) -> bytes:

@@ -4,7 +4,8 @@ A document's fingerprint holds the majority of the bits of its shingles' hashes.
 differ in at most ``radius`` bits are linked; a class is a connected component of links.
 
 The search is exact. The 64 bits are cut into blocks; two fingerprints within the radius agree on all
-but ``radius`` blocks, so they meet in a bucket keyed by some choice of the other blocks. Within a bucket the
+but ``radius`` blocks, so they meet in a bucket keyed by some choice of the other blocks. Each fingerprint is compared with its
+bucket's first; those near it are linked by that. The others are compared with all of the bucket: the
 fingerprints' bit planes are stored vertically, 64 candidates to a machine word, and one pass over the planes
 adds each plane's differences into carry-save counters for all candidates at once; words all of whose
 candidates have exceeded the radius are abandoned. Buckets over ``CHUNK`` fingerprints are cut into chunks
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, one_of_each, table, text_key, write_shared
+from .common import connected_components, salted_join, table, write_shared
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a bucket that are compared in one cell; a cell holds two chunks at most.
@@ -112,12 +113,14 @@ def _merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             label = step
 
 
-def bit_sliced_links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (row, row) that join what is linked within each group; ``group`` is sorted.
+def bit_sliced_links(fp: np.ndarray, group: np.ndarray, radius: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, row) that join what is linked within each group; ``group`` is sorted. A row of ``fp`` is one 64-bit word or several.
 
-    Returns a spanning forest of the links, so a group of n rows gives fewer than n edges.
+    Returns a spanning forest of the links, so a group of n rows gives fewer than n edges. ``asked``: only links of these rows, which lead their group.
     """
     n = len(fp)
+    fp = fp.reshape(n, -1) if n else fp.reshape(0, 1)
+    bits_of = 64 * fp.shape[1]
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, n])
     words = -(-size // 64)
@@ -134,11 +137,14 @@ def bit_sliced_links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np
         return np.packbits(bits, bitorder="little").view(np.uint64)
 
     one = np.uint64(1)
-    planes = [plane((fp >> np.uint64(b)) & one) for b in range(64)]
+    bit_of = lambda rows, b: (fp[rows, b // 64] >> np.uint64(b % 64)) & one
+    planes = [plane(bit_of(slice(None), b)) for b in range(bits_of)]
     there = plane(np.ones(n, np.uint8))
     # A row is compared with its own word's later rows and with the later words of its group.
     todo = words[of] - inside // 64
     todo[size[of] == 1] = 0
+    if asked is not None:
+        todo[~asked] = 0
     label, ends = np.arange(n), np.cumsum(todo)
     at = 0
     while at < n:
@@ -155,12 +161,12 @@ def bit_sliced_links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np
         q, w, valid = q[alive], w[alive], valid[alive]
         counter = [np.zeros(len(q), np.uint64) for _ in range(radius.bit_length())]
         over = ~valid
-        for b in range(64):
-            carry = planes[b][w] ^ (np.uint64(0) - ((fp[q] >> np.uint64(b)) & one))
+        for b in range(bits_of):
+            carry = planes[b][w] ^ (np.uint64(0) - bit_of(q, b))
             for i, c in enumerate(counter):
                 counter[i], carry = c ^ carry, c & carry
             over |= carry  # beyond what the counters hold
-            if b >= 8 and b % 4 == 0 or b == 63:
+            if b >= 2 * radius and b % max(4, radius // 4) == 0 or b == bits_of - 1:
                 more, same = np.zeros(len(q), np.uint64), np.full(len(q), ONES)
                 for i in reversed(range(len(counter))):
                     r = ONES if radius >> i & 1 else np.uint64(0)
@@ -181,40 +187,53 @@ def bit_sliced_links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np
     return linked, label[linked]
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges ``(a, b)`` over distinct fingerprints ``fp``: their components are those of all links."""
-    masks = block_masks(blocks_for(distinct.count(), radius), radius)
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks)]))
-    rows = distinct.select("fp", keys.alias("key")).select("fp", "key.*")
-    large = write_shared(rows.groupBy("k", "bits").count().where(F.col("count") > CHUNK), "large-buckets")
-    if large.isEmpty():
-        cells = rows.select("fp", "k", "bits", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    else:
-        n = F.coalesce(F.ceil(F.col("count") / CHUNK), F.lit(1)).cast("int")
-        mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        cells = (
-            rows.join(large, ["k", "bits"], "left").withColumn("n", n).withColumn("x", mine)
-            .withColumn("y", F.explode(F.expr("sequence(0, n - 1)")))
-            .select("fp", "k", "bits", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
-        )
-    cells = cells.repartition("k", "bits", "i", "j").sortWithinPartitions("k", "bits", "i", "j")
+def link_in_buckets(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges ``(a, b)`` whose components are those of all links within buckets; ``rows`` has ``(id long, fp array<long>, bucket long)``, an id once a bucket.
+
+    A bucket's hub, its least id, is joined to its members, whose distance to it is counted in the JVM. Members beyond the radius
+    are compared with the whole bucket, in cells of a chunk of them and a chunk of the members.
+    """
+    one = F.struct("id", "fp")
+    hubs = rows.groupBy("bucket").agg(F.min(one).alias("hub"), F.max("id").alias("most"), F.count("*").alias("n")).where("hub.id <> most").drop("most")
+    distance = F.aggregate(F.zip_with("fp", "hub.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    placed = write_shared(rows.join(hubs, "bucket").select("id", "fp", "bucket", "n", F.col("hub.id").alias("hub"), (distance <= radius).alias("near")), "bucket-members")
+    links = placed.where("near and id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    apart = write_shared(placed.where("not near").groupBy("bucket").agg(F.count("*").alias("m")), "buckets-apart")
+    if apart.isEmpty():
+        return links
+    chunks = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
+    deal = lambda c, salt: F.pmod(F.xxhash64("id", F.lit(salt)), chunks(c)).cast("int")
+    mixed = placed.join(apart, "bucket").withColumns({"asks": deal("m", 1), "asked": deal("n", 2), "ms": chunks("m"), "ns": chunks("n")})
+    asking = mixed.where("not near").select("id", "fp", "bucket", F.col("asks").alias("x"), F.explode(F.expr("sequence(0, ns - 1)")).alias("y"), F.lit(1).alias("ask"))
+    others = mixed.select("id", "fp", "bucket", F.explode(F.expr("sequence(0, ms - 1)")).alias("x"), F.col("asked").alias("y"), F.lit(0).alias("ask"))
+    cells = asking.union(others).select("id", "ask", F.xxhash64("bucket", "x", "y").alias("cell"), "fp")
+    cells = cells.repartition("cell").sortWithinPartitions("cell", F.desc("ask"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.zeros((0, 5), np.int64)
+        kept: list[tuple[np.ndarray, ...]] = []
         for b in itertools.chain(batches, (None,)):
-            if b is not None:
-                kept = np.concatenate([kept, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)])
-                if len(kept) < ROWS:
-                    continue
-            new = np.r_[True, (kept[1:, 1:] != kept[:-1, 1:]).any(axis=1)] if len(kept) else np.zeros(0, bool)
-            end = len(kept) if b is None else int(np.flatnonzero(new)[-1])
-            part, kept = kept[:end], kept[end:]
-            if len(part):
-                fp = np.ascontiguousarray(part[:, 0])
-                u, v = bit_sliced_links(fp.view(np.uint64), np.cumsum(new[:end]), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], ["a", "b"])
+            if b is not None and b.num_rows:
+                ids, ask, cell = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+                kept.append((ids, ask, cell, b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)))
+            if not kept or (b is not None and sum(len(k[0]) for k in kept) < ROWS):
+                continue
+            ids, ask, cell, fp = (np.concatenate(c) for c in zip(*kept))
+            new = np.r_[True, cell[1:] != cell[:-1]]
+            end = len(ids) if b is None else int(np.flatnonzero(new)[-1])
+            kept = [(ids[end:], ask[end:], cell[end:], fp[end:])] if end < len(ids) else []
+            if end:
+                u, v = bit_sliced_links(np.ascontiguousarray(fp[:end]).view(np.uint64), np.cumsum(new[:end]), radius, ask[:end] == 1)
+                u, v = ids[u], ids[v]
+                yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["a", "b"])
+
+    return links.union(cells.mapInArrow(compare, "a long, b long")).distinct()
 
-    return cells.mapInArrow(compare, "a long, b long").distinct()
+
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges ``(a, b)`` over distinct fingerprints ``fp``: their components are those of all links."""
+    masks = block_masks(blocks_for(distinct.count(), radius), radius)
+    buckets = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)]))
+    return link_in_buckets(distinct.select(F.col("fp").alias("id"), F.array("fp").alias("fp"), buckets.alias("bucket")), radius)
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -227,16 +246,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
     rows = write_shared(fingerprint_documents(docs, k), "fingerprints")
     distinct = write_shared(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = connected_components(link_fingerprints(distinct, radius))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the least id; documents of different classes may share an id or have none."""
-    classes = near_duplicates(docs.select(text_key().alias("doc_id"), "text"))
-    return one_of_each(docs, classes.select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")).distinct())
+    # Only fingerprints with links are in the table of roots. A class's name is found by a partial minimum, and goes back to them over salted keys.
+    linked = write_shared(roots.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least"), "linked")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = salted_join(linked.select("fp", "root"), named, "root").select(F.col("fp").alias("_fp"), "component_id")
+    placed = distinct.join(classes, F.col("fp") == F.col("_fp"), "left").select("fp", F.when(F.col("_fp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return salted_join(rows, placed, "fp").select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siftloom.llm import bpe, language_model, mixing, pii, quality_model, quality_rules, simhash, topk, toxicity, warc
+from siftloom.llm import bpe, language_model, mixing, near_copies, pii, quality_model, quality_rules, simhash, topk, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977} x{i * 7 % 1009}" for i in range(30_000))
@@ -55,7 +55,7 @@ def test_odd_rows(odd, none, name):
     assert OPERATORS[name](none).collect() == []
 
 
-@pytest.mark.parametrize("stage", [quality_rules.keep, simhash.keep_one_of_each, pii.sanitise, mixing.mix])
+@pytest.mark.parametrize("stage", [quality_rules.keep, near_copies.keep_one_of_each, pii.sanitise, mixing.mix])
 def test_stages_keep_columns(odd, none, stage):
     out = stage(odd)
     assert out.columns == odd.columns

@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 import corpus_pipeline
-from siftloom.llm import bpe, jaccard, pii, simhash
+from siftloom.llm import bpe, near_copies, pii
 
 
 def words(n, seed, vocabulary=3000):
@@ -71,7 +71,7 @@ def test_survivors_by_class(spark):
     a, b, c, d = (words(80, 500 + i) for i in range(4))
     rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (8, d), (7, c), (9, b)]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = sorted((r["text"], r["doc_id"]) for r in simhash.keep_one_of_each(df).collect())
+    got = sorted((r["text"], r["doc_id"]) for r in near_copies.keep_one_of_each(df).collect())
     assert got == sorted([(a, None), (b, 9), (c, 7), (d, 7)])
 
 
@@ -104,5 +104,5 @@ def test_near_duplicates_are_those_of_jaccard(spark, tmp_path):
     assert 12 < len(set(root)) < len(texts) - 20
     got = sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert got == sorted(set(root))
-    again = sorted(x["doc_id"] for x in jaccard.keep_one_of_each(df.repartition(7)).collect())
+    again = sorted(x["doc_id"] for x in near_copies.keep_one_of_each(df.repartition(7)).collect())
     assert again == got
