@@ -26,6 +26,19 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+# Capitals, with their small letters, that the tokenizer's tables have and this Python's may not; the second line has pairs in two rows of so many letters.
+NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEW_CAPITAL_ROWS = ((0x10D50, 0x10D70, 22), (0x16EA0, 0x16EBB, 25))
+# Letters and numbers of Unicode 16, the tokenizer's, that 15.1 lacks: first and last of each run.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+# End of fixed values.
+ADDED = {"L": {chr(c) for a, b in LETTERS_16 for c in range(a, b + 1)}, "N": {chr(c) for a, b in NUMBERS_16 for c in range(a, b + 1)}}
+LOWER = NEW_CAPITALS | {a + i: b + i for a, b, n in NEW_CAPITAL_ROWS for i in range(n)}
+
 #: Words kept with their ids by a worker; the table is emptied beyond that.
 CACHE = 200_000
 
@@ -43,6 +56,21 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
+def newer_letters(pattern: str) -> tuple[frozenset[str], regex.Pattern[str]]:
+    """Characters that only the pattern library's tables, newer than the tokenizer's, call letters or numbers, and those of LOWER; and the pattern without the former.
+
+    The tokenizer's letters are those of Unicode 16; the tests hold every code point against it.
+    """
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    newer: set[str] = set()
+    for kind in "LN":
+        more = [c for c in regex.findall(rf"\p{{{kind}}}", every) if unicodedata.category(c)[0] != kind and c not in ADDED[kind]]
+        newer.update(more)
+        if more:
+            pattern = pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{''.join(map(regex.escape, more))}]]")
+    return frozenset(newer | set(map(chr, LOWER))), regex.compile(f"(?V1){pattern}")
+
+
 class Bpe:
     """A tokenizer of the given file, which must be of the kind named above."""
 
@@ -57,6 +85,7 @@ class Bpe:
         self.end = model["end_of_word_suffix"]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
+        self.newer, self.pinned = newer_letters(split["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.mark = next(iter(self.special))[:2]
@@ -152,6 +181,8 @@ class Bpe:
         if not text.isascii():
             # Lower case is by character here: no final sigma.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if max(text) >= "\u0500" and not self.newer.isdisjoint(text):
+                return self.pinned.findall(text.translate(LOWER).lower())
         return self.words.findall(text.lower())
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:

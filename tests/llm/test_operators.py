@@ -118,6 +118,32 @@ def test_bpe_as_the_library():
         assert own.decode(ids) == lib.decode(want.ids, skip_special_tokens=False)
 
 
+def test_bpe_of_every_code_point():
+    """Beside letters, beside digits and alone, as the library has it."""
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(bpe.default_path()), bpe.Bpe(bpe.default_path())
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 50_000):
+        texts = [f"a{c}b 1{c}2 {c}" for c in every[at : at + 50_000]]
+        want = [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
+        assert [t for t, i, w in zip(texts, own.encode_batch(texts), want) if i != w] == []
+
+
+def test_bpe_query(spark, tmp_path):
+    """The registered query against the library: null, empty, long and repeated texts, special tokens, letters newer than the library's."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_path())
+    texts = [None, "", " \n", "It's <|endoftext|> 12é", LONG, "x" * 50_000, "same", "same", "Σίσυφος İ ﬁ", "a\u0558b\U00010940c", "e\u0301 \x00"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_tokens", F.lit("clash")).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in bpe.query(spark, str(tmp_path)).collect():
+        ids = lib.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        raw = np.array(ids, "<u4").tobytes()
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(raw).hexdigest()), r["doc_id"]
+        assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_bpe_round_trip(spark):
     df = spark.createDataFrame([(1, "Hello there"), (2, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in bpe.decode_ids(bpe.encode_documents(df, with_ids=True)).collect()}
