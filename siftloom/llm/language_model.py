@@ -4,7 +4,7 @@ A token's probability is that of its class in its context, times that of its slo
 
 - class: a softmax over ``CLASSES`` of summed weights of hashed features, which are the word before, the two words before (n-grams)
   and the word two back (a skip). Trained by distributed gradient updates: every task makes AdaGrad steps from the common
-  weights over its share of a round's documents, and the tasks' weights are averaged by their tokens in a tree. The rounds
+  weights over its share of a round's documents, and the tasks' updates are averaged by their tokens in a tree. The rounds
   cover each training document once.
 - slot: a softmax over the class's ``SLOTS`` of a bias and a hashed feature of class and word before. One feature is active a token, so
   the gradient, observed less expected counts, is a function of hashed counts: those are summed over all training documents, and the steps taken on the sums.
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +41,11 @@ SLOTS, SHARED, BEFORE = 64, 16, 2048
 FREQUENT, ROUNDS, STEP, RATE, RIDGE = 250_000, 2, 16_384, 0.15, 0.5
 SMOOTH = 0.1
 #: Tokens of a block, or one longer document.
-BLOCK = 131_072
+BLOCK = 32_768
 #: The end of a text is a token; no word is empty.
 END = b""
-BACK = 2
+#: Numbers of a shard of what tasks add up, and tasks that are added up at a time.
+SHARD, FAN, NAMES = 65_536, 256, ["part", "shard", "n", "x"]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -199,14 +201,39 @@ def count_words(coded: DataFrame) -> DataFrame:
     return coded.mapInArrow(run, "key long, unit int, c long").groupBy("key").agg(F.max("unit").alias("unit"), F.sum("c").alias("c"))
 
 
-def reduced(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], bytes], add: Callable[[bytes, bytes], bytes]) -> bytes | None:
-    """What the tasks make, added up in a tree on the executors; none without tasks."""
+def reduced(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], tuple[np.ndarray, int]], kind: type, mean: bool, size: int) -> np.ndarray:
+    """Sum over the tasks of an array that each makes, or mean by the weights that they give.
+
+    Arrays travel in shards of ``SHARD`` numbers, added up on the executors ``FAN`` tasks at a time: neither a row nor a group is large, whatever the tasks' number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([make(batches)], pa.binary())], ["a"])
+        x, n = make(batches)
+        part = TaskContext.get().partitionId()
+        for s in range(0, len(x), SHARD):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([s // SHARD], pa.int32()), pa.array([n], pa.int64()), pa.array([packed(x[s : s + SHARD].astype(kind))], pa.binary())], NAMES)
+
+    def add(t: pa.Table) -> pa.Table:
+        total, weight = 0, 0
+        for n, x in zip(t.column("n").to_pylist(), t.column("x")):
+            part = np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), kind).astype(np.float64 if mean else np.int64)
+            total, weight = total + (part * n if mean else part), weight + n
+        out = (total / max(1, weight) if mean else total).astype(kind)
+        return pa.table([pa.array([t.column("part")[0].as_py() // FAN]), pa.array([t.column("shard")[0].as_py()], pa.int32()), pa.array([weight], pa.int64()), pa.array([packed(out)], pa.binary())], NAMES)
+
+    shape = "part long, shard int, n long, x binary"
+    parts, tasks = rows.mapInArrow(run, shape), rows.rdd.getNumPartitions()
+    while tasks > FAN:
+        parts, tasks = parts.groupBy("shard", F.floor(F.col("part") / FAN)).applyInArrow(add, shape), -(-tasks // FAN)
+    found = {r["shard"]: bytes(r["x"]) for r in parts.groupBy("shard").applyInArrow(add, shape).collect()}  # one array
+    out = np.zeros(size, np.float32 if mean else np.int64)
+    for s, x in found.items():
+        out[s * SHARD : (s + 1) * SHARD] = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    return out
 
-    parts = rows.mapInArrow(run, "a binary").rdd.map(lambda r: bytes(r[0]))
-    return parts.treeReduce(add, depth=3) if parts.getNumPartitions() else None
+
+def packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
 
 class Tally:
@@ -227,27 +254,15 @@ class Tally:
             self.counts[cells] += n
         self.held, self.n = [], 0
 
-    def packed(self) -> bytes:
+    def total(self) -> np.ndarray:
         self.flush()
-        return pack(self.counts)
-
-
-def pack(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
-
-
-def unpack(raw: bytes | None, size: int) -> np.ndarray:
-    return np.zeros(size, np.int64) if raw is None else np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.int64)
-
-
-def add_counts(a: bytes, b: bytes) -> bytes:
-    return pack(unpack(a, 0) + unpack(b, 0))
+        return self.counts
 
 
 def cooccurrence(coded: DataFrame) -> np.ndarray:
     """How often each unit stands beside or two from each context, UNITS by CONTEXTS, over the training documents."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> bytes:
+    def make(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, int]:
         out = Tally(UNITS * CONTEXTS)
         for block in read_blocks(batches):
             t = block.taught()
@@ -257,9 +272,9 @@ def cooccurrence(coded: DataFrame) -> np.ndarray:
                 before = units[t.back(k)]
                 out.note(here * CONTEXTS + before % CONTEXTS)
                 out.note(before * CONTEXTS + here % CONTEXTS)
-        return out.packed()
+        return out.total(), 1
 
-    return unpack(reduced(coded, make, add_counts), UNITS * CONTEXTS).reshape(UNITS, CONTEXTS)
+    return reduced(coded, make, np.int64, False, UNITS * CONTEXTS).reshape(UNITS, CONTEXTS)
 
 
 def cluster(counts: np.ndarray, classes: int = CLASSES, rounds: int = 30) -> np.ndarray:
@@ -323,16 +338,16 @@ def slot_counts(coded: DataFrame, words: Vocabulary) -> np.ndarray:
     """How often each slot follows each word before, by row of the slot factor, over the training documents."""
     sent = coded.sparkSession.sparkContext.broadcast(words)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> bytes:
+    def make(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, int]:
         out = Tally(CLASSES * BEFORE * SLOTS)
         for block in read_blocks(batches):
             t = block.taught()
             classes, slots = sent.value.place(t.keys, t.units)
             rows = slot_rows(classes[t.codes], t.hashes()[t.back(1)])
             out.note(rows * SLOTS + slots[t.codes])
-        return out.packed()
+        return out.total(), 1
 
-    return unpack(reduced(coded, make, add_counts), CLASSES * BEFORE * SLOTS).reshape(-1, SLOTS)
+    return reduced(coded, make, np.int64, False, CLASSES * BEFORE * SLOTS).reshape(-1, SLOTS)
 
 
 def log_softmax(z: np.ndarray) -> np.ndarray:
@@ -383,7 +398,7 @@ def train_classes(coded: DataFrame, words: Vocabulary, tokens_of: np.ndarray) ->
     for k in range(ROUNDS):
         sent = sc.broadcast((state, words))
 
-        def make(batches: Iterator[pa.RecordBatch], k: int = k) -> bytes:
+        def make(batches: Iterator[pa.RecordBatch], k: int = k) -> tuple[np.ndarray, int]:
             common, vocab = sent.value
             w, tokens = common.copy(), 0
             squares = np.full_like(w, 1e-4)
@@ -415,16 +430,9 @@ def train_classes(coded: DataFrame, words: Vocabulary, tokens_of: np.ndarray) ->
                         for part in sum_rows(f, g):
                             update(*part)
                     update(np.array([ROWS]), g.sum(axis=0, keepdims=True))
-            return np.int64(tokens).tobytes() + (w - common).astype(np.float16).tobytes()
-
-        def add(a: bytes, b: bytes) -> bytes:
-            n, m = (int(np.frombuffer(x, np.int64, 1)[0]) for x in (a, b))
-            x, y = (np.frombuffer(v, np.float16, offset=8).astype(np.float32) for v in (a, b))
-            return np.int64(n + m).tobytes() + ((x * n + y * m) / max(1, n + m)).astype(np.float16).tobytes()
+            return (w - common).ravel(), tokens
 
-        total = reduced(coded, make, add)
-        if total is not None:
-            state = state + np.frombuffer(total, np.float16, offset=8).astype(np.float32).reshape(state.shape)
+        state = state + reduced(coded, make, np.float16, True, state.size).reshape(state.shape)
         sent.unpersist()
     return state
 
