@@ -1,18 +1,22 @@
 """Personal data: patterns, and terms that give away the entities they stand beside.
 
-Patterns find the protected entities (addresses, numbers). What a term ``t`` discloses of an entity ``e`` is
-estimated from the corpus as pointwise mutual information over the entity's own information,
+Patterns find the protected entities (addresses, numbers). An entity is protected at three levels: itself, its domain (of addresses), its kind.
+What a term ``t`` discloses of an entity ``e`` is estimated from the corpus as pointwise mutual information over the entity's own information,
 ``log2(N df(e,t) / (df(e) df(t))) / log2(N / df(e))``: 1 if ``t`` occurs with ``e`` only, 0 if they are independent.
 Here df counts documents, and df(e,t) those with ``t`` in the context of ``e`` (the words wholly within ``REACH``
 characters of it, ``WINDOW`` a side at most). A pair counts if it occurs in ``SUPPORT`` different contexts, so that
 copies of one passage are one piece of evidence: contexts that share ``COPY`` of their terms or more, the term itself
-left out, are copies. In the order of their hashes, a context that is no copy of those taken before is taken. Terms at ``GENERALISE`` or above are generalised wherever they
-occur, at ``REMOVE`` or above removed.
+left out, are copies. In the order of their hashes, a context that is no copy of those taken before is taken.
+
+Thresholds follow the distribution. Of all pairs of the corpus, so many are tested that some are far from independent by chance; a pair must
+exceed what ``CHANCE`` such pairs are expected to reach (deviance from the expected count). Beyond that its disclosure decides, by ``LEVELS``: a term is
+generalised to the kind it tells of, or removed, wherever it occurs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -26,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import table, write_shared
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, REACH, SUPPORT, GENERALISE, REMOVE = 8, 160, 3, 0.8, 0.95
+WINDOW, REACH, SUPPORT, CHANCE = 8, 160, 3, 0.01
+#: Disclosure from which terms are generalised, and removed, by level. A kind or domain is known from less than a person is.
+LEVELS = {"entity": (0.8, 0.95), "domain": (0.4, 0.8), "kind": (0.25, 0.6)}
 #: Jaccard similarity of the terms of two contexts from which they are copies of one passage.
 COPY = 0.5
 #: Bits of the filter of hashed terms that workers get: its size, 1 MB, does not depend on the corpus.
@@ -96,6 +102,13 @@ def entity(kind: str, found: str) -> str:
     return f"{kind}:{found.lower() if kind in ('email', 'ip') else digits_of(found)}"
 
 
+def protected(kind: str, found: str) -> list[str]:
+    """What a match gives away, as ``level kind value``: itself, its domain, its kind."""
+    e = entity(kind, found)
+    domain = [f"domain email {e.rpartition('@')[2]}"] if kind == "email" else []
+    return [f"entity {kind} {e}", *domain, f"kind {kind} "]
+
+
 def context(text: str, start: int, end: int, own: list[tuple[str, int, int]]) -> list[str]:
     """Terms beside a span: the nearest on each side that lie wholly within reach and outside other spans."""
     a, b = max(0, start - REACH), min(len(text), end + REACH)
@@ -112,7 +125,7 @@ def context(text: str, start: int, end: int, own: list[tuple[str, int, int]]) ->
 
 
 def evidence(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list[str], list[str]]]:
-    """``(entity, terms, new)`` of each context: its terms in order, and those the document has not shown beside the entity.
+    """``(entity, terms, new)`` of each context of each protected entity: its terms in order, and those the document has not shown beside the entity.
 
     The term "" stands for the entity itself. Contexts that a document repeats are given once.
     """
@@ -120,12 +133,13 @@ def evidence(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, li
     known: dict[str, set[str]] = {}
     given: set[tuple[str, ...]] = set()
     for kind, a, b in spans:
-        e, terms = entity(kind, text[a:b]), sorted({"", *context(text, a, b, spans)})
-        if (e, *terms) not in given:
-            given.add((e, *terms))
-            seen = known.setdefault(e, set())
-            out.append((e, terms[1:], [t for t in terms if t not in seen]))
-            seen.update(terms)
+        terms = sorted({"", *context(text, a, b, spans)})
+        for e in protected(kind, text[a:b]):
+            if (e, *terms) not in given:
+                given.add((e, *terms))
+                seen = known.setdefault(e, set())
+                out.append((e, terms[1:], [t for t in terms if t not in seen]))
+                seen.update(terms)
     return out
 
 
@@ -212,26 +226,37 @@ def supported(pairs: DataFrame) -> DataFrame:
     return rows.select("e", "t").distinct()
 
 
-def revealing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """``(term, disclosure)`` of terms at the threshold or above; disclosure is the highest over the entities."""
+def disclosures(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """``(e, t, both, df_e, df, disclosure, deviance, least)`` of the supported pairs; least is the deviance that a pair must exceed."""
     seen = base.select(F.explode("seen").alias("s")).select("s.*")
     both = write_shared(seen.select("e", F.explode("new").alias("t")).groupBy("e", "t").agg(F.count("*").alias("both")), "pairs")
     entities = both.where("t = ''").select("e", F.col("both").alias("df_e"))
     pairs = seen.select("e", F.explode("terms").alias("t"), "terms").select("e", "t", F.array_remove("terms", F.col("t")).alias("others"))
-    beside = write_shared(both.join(supported(pairs), ["e", "t"], "left_semi"), "supported")
+    beside = write_shared(both.where(F.col("both") > 0).join(supported(pairs), ["e", "t"], "left_semi"), "supported")
     terms = write_shared(beside.select(F.col("t").alias("term")).distinct(), "terms")
-    if terms.isEmpty():
-        return docs.sparkSession.createDataFrame([], "term string, disclosure double")
     n, df = base.count(), document_frequency(docs, terms).withColumnRenamed("term", "t")
+    tested = max(1, both.count())
     all_docs = F.lit(float(n))
-    share = F.log2(all_docs * F.col("both") / (F.col("df_e") * F.col("df"))) / F.log2(all_docs / F.col("df_e"))
+    expected = F.col("df_e") * F.col("df") / all_docs
+    share = F.log2(F.col("both") / expected) / F.log2(all_docs / F.col("df_e"))
+    # Twice the log likelihood ratio of a Poisson count; e^-x bounds the chance of twice x.
+    deviance = F.when(F.col("both") > expected, 2 * (F.col("both") * F.log(F.col("both") / expected) - F.col("both") + expected)).otherwise(0.0)
     known = beside.join(df, "t").join(entities, "e").where(F.col("df_e") < n)
-    return write_shared(known.groupBy(F.col("t").alias("term")).agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= GENERALISE), "revealing")
+    return known.select("e", "t", "both", "df_e", "df", share.alias("disclosure"), deviance.alias("deviance"), F.lit(2 * math.log(tested / CHANCE)).alias("least"))
+
+
+def revealing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """``(term, kind, remove, disclosure)`` of the terms to generalise or remove: the kind is that of the entity most disclosed, remove tells if any level asks for it."""
+    level, kind = F.split("e", " ")[0], F.split("e", " ")[1]
+    at = lambda i: F.coalesce(*[F.when(level == name, v[i]) for name, v in LEVELS.items()])
+    told = disclosures(docs, base).where((F.col("deviance") > F.col("least")) & (F.col("disclosure") >= at(0)))
+    found = told.groupBy(F.col("t").alias("term")).agg(F.max_by(kind, F.struct("disclosure", "e")).alias("kind"), F.max(F.col("disclosure") >= at(1)).alias("remove"), F.max("disclosure").alias("disclosure"))
+    return write_shared(found, "revealing")
 
 
 def term_hits(docs: DataFrame, revealing: DataFrame) -> DataFrame:
-    """``doc_id, key, hits array<struct<start, end, remove>>`` of documents with revealing terms outside base spans."""
-    shape = "doc_id long, key long, hits array<struct<start: long, end: long, remove: boolean>>"
+    """``doc_id, key, hits array<struct<start, end, remove, kind>>`` of documents with revealing terms outside base spans."""
+    shape = "doc_id long, key long, hits array<struct<start: long, end: long, remove: boolean, kind: string>>"
     if revealing.isEmpty():
         return docs.sparkSession.createDataFrame([], shape)
     bits = docs.sparkSession.sparkContext.broadcast(term_filter(revealing))
@@ -249,7 +274,7 @@ def term_hits(docs: DataFrame, revealing: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "key", "term", "start", "end"])
 
     found = with_key(docs).mapInArrow(run, "doc_id long, key long, term string, start long, end long").join(revealing, "term")
-    one = F.struct("start", "end", (F.col("disclosure") >= REMOVE).alias("remove"))
+    one = F.struct("start", "end", "remove", "kind")
     return write_shared(found.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(one)).alias("hits")), "hits")
 
 
@@ -273,9 +298,9 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def masked(text: str, hits: Sequence[dict] | None) -> str:
-    """Base spans as their kind; revealing terms as [TERM] or removed. Overlapping spans go as one, by the first."""
+    """Base spans as their kind; revealing terms as what they tell of, or removed. Overlapping spans go as one, by the first."""
     marks = [(a, b, f"[{k.upper()}]") for k, a, b in base_spans(text)]
-    marks += [(h["start"], h["end"], "" if h["remove"] else "[TERM]") for h in (() if hits is None else hits)]
+    marks += [(h["start"], h["end"], "" if h["remove"] else f"[{h['kind'].upper()} TERM]") for h in (() if hits is None else hits)]
     out, at = [], 0
     for a, b, mark in sorted(marks, key=lambda m: m[0]):
         if a >= at:
@@ -285,7 +310,10 @@ def masked(text: str, hits: Sequence[dict] | None) -> str:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with masked text, and n_chars to match if there is such a column; null texts stay null."""
+    """``docs`` with masked text, and n_chars to match if there is such a column; null texts stay null, empty ones empty.
+
+    Every row comes back, repeated rows and rows without id too; rows that share an id are told apart by their text. Other columns stay as they are.
+    """
     hits = term_hits(docs, revealing_terms(docs, write_shared(find_base(docs), "base-spans")))
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 

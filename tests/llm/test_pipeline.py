@@ -59,7 +59,7 @@ def test_pipeline(spark, tmp_path):
 
 def test_masks():
     assert pii.masked("to a@b.co or 1.2.3.4", None) == "to [EMAIL] or [IP]"
-    assert pii.masked("xx yy", [{"start": 0, "end": 2, "remove": False}, {"start": 3, "end": 5, "remove": True}]) == "[TERM] "
+    assert pii.masked("xx yy", [{"start": 0, "end": 2, "remove": False, "kind": "email"}, {"start": 3, "end": 5, "remove": True, "kind": "ip"}]) == "[EMAIL TERM] "
 
 
 def test_stages():
