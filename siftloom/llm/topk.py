@@ -1,7 +1,7 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Vectors are rows of sparse integer weights: the dimensions are terms, floor(scale * x) the weight. Rows are dealt into
-candidate blocks and query blocks of bounded size; each pair of blocks is one task's work. There the
+Vectors are rows of sparse integer weights: the dimensions are terms, floor(scale * x) the weight. Queries go to the workers in
+groups of bounded size; candidates stay where they are and are read in blocks of bounded size. In a block the
 candidates' weights become postings by term. A query row takes its terms in turn and scatters each
 term's weighted postings into a dense array of scores, one per candidate; a partition selection finds the k best. What
 the blocks found is merged per query. Every candidate is scored for every query.
@@ -9,6 +9,9 @@ the blocks found is merged per query. Every candidate is scored for every query.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +21,15 @@ from pyspark.sql import functions as F
 from .common import table, write_shared
 
 SCALE, K, EVERY = 256, 5, 50
-#: Rows of a block of candidates and of queries.
-CANDIDATES, QUERIES = 16_384, 1_024
-#: Postings that at least so large a part of the block's rows has are kept as a full column.
-FULL = 0.25
-LOWEST = np.iinfo(np.int64).min
+#: Rows of a block of candidates, and of a group of queries: what is sent to the workers at a time.
+CANDIDATES, QUERIES = 16_384, 4_096
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """``(id, v array<long>)`` of the rows that take part: no null, no component null or non-finite."""
+    """``(id, v array<long>)`` of the rows that take part: no null id or vector, no component null or non-finite.
+
+    Rows that share an id are one vector, the least of theirs: results name vectors by id.
+    """
     x = F.transform(F.col(column), lambda c: c.cast("double"))
     fine = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where("id is not null and x is not null")
@@ -34,24 +37,15 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", column: str = "e
     return rows.select("id", F.transform("x", lambda c: F.floor(c * float(scale))).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def postings(starts: np.ndarray, values: np.ndarray, n: int) -> list[tuple[np.ndarray | None, np.ndarray]]:
-    """By term: the rows that have it, or none for all of them, and their weights."""
+def postings(starts: np.ndarray, values: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By term: the rows that have it, and their weights."""
     sizes = np.diff(starts)
-    row = np.repeat(np.arange(n), sizes)
-    term = np.arange(len(values)) - np.repeat(starts[:-1], sizes)
-    out = []
+    some = np.flatnonzero(values)
+    row = np.repeat(np.arange(n), sizes)[some]
+    term = (np.arange(len(values)) - np.repeat(starts[:-1], sizes))[some]
     order = np.argsort(term, kind="stable")
-    row, value, ends = row[order], values[order], np.cumsum(np.bincount(term, minlength=int(sizes.max(initial=0))))
-    for a, b in zip(np.r_[0, ends], ends):
-        r, v = row[a:b], value[a:b]
-        some = np.flatnonzero(v)
-        if len(some) >= FULL * n:
-            full = np.zeros(n, values.dtype)
-            full[r] = v
-            out.append((None, full))
-        else:
-            out.append((r[some], v[some]))
-    return out
+    row, value, ends = row[order], values[some][order], np.cumsum(np.bincount(term, minlength=int(sizes.max(initial=0))))
+    return [(row[a:b], value[a:b]) for a, b in zip(np.r_[0, ends], ends)]
 
 
 def search_block(q_ids: np.ndarray, q_starts: np.ndarray, q_values: np.ndarray, ids: np.ndarray, starts: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +55,6 @@ def search_block(q_ids: np.ndarray, q_starts: np.ndarray, q_values: np.ndarray,
     kind = np.int32 if most < 2**31 else np.int64
     lists = postings(starts, values.astype(kind), n)
     found: list[tuple[int, np.ndarray, np.ndarray]] = []
-    part = np.empty(n, kind)
     for q, a, b in zip(q_ids, q_starts, q_starts[1:]):
         scores = np.zeros(n, kind)
         query = q_values[a:b].astype(kind)
@@ -69,11 +62,7 @@ def search_block(q_ids: np.ndarray, q_starts: np.ndarray, q_values: np.ndarray,
             if t >= len(lists):
                 break
             rows, weights = lists[t]
-            if rows is None:
-                np.multiply(weights, query[t], out=part)
-                scores += part
-            else:
-                scores[rows] += query[t] * weights
+            scores[rows] += query[t] * weights
         at = np.searchsorted(ids, q)
         if at < n and ids[at] == q:
             rest = np.r_[0:at, at + 1 : n]
@@ -98,26 +87,45 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     candidate of its; equal scores go by smaller id; shorter vectors lack the further terms; with fewer than k candidates all
     are returned, and no rows for none. Scores are exact within 64 bits.
     """
-    n, m = vectors.count(), queries.count()
-    blocks, groups = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
-    deal = lambda parts, salt: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(parts)).cast("int")
-    left = vectors.select("id", "v", deal(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    right = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), deal(groups, 2).alias("group"))
+    sc = vectors.sparkSession.sparkContext
+    groups = -(-queries.count() // QUERIES)
 
     def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         t = t.sort_by("id").combine_chunks()
-        v = t.column("v").combine_chunks()
-        v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
+        v = pa.concat_arrays(t.column("v").chunks) if t.num_rows else pa.array([], pa.list_(pa.int64()))
         sizes = np.array(v.value_lengths().to_numpy(zero_copy_only=False), np.int64)
         return t.column("id").to_numpy(), np.r_[0, np.cumsum(sizes)].astype(np.int64), v.flatten().to_numpy()
 
-    def run(c: pa.Table, q: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        if not c.num_rows or not q.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names)
-        return pa.table([pa.array(x) for x in search_block(*arrays(q), *arrays(c), k)], names)
-
-    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(run, "query_id long, vec_id long, score long")
+    def found_by(group: DataFrame) -> DataFrame:
+        sent = sc.broadcast(arrays(group.toArrow()))  # about QUERIES rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for b in itertools.chain(batches, (None,)):
+                if b is not None:
+                    held.append(b)
+                if held and (b is None or sum(x.num_rows for x in held) >= CANDIDATES):
+                    block = pa.Table.from_batches(held)
+                    held = []
+                    for at in range(0, block.num_rows, CANDIDATES):
+                        found = search_block(*sent.value, *arrays(block.slice(at, CANDIDATES)), k)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+
+        return vectors.select("id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+
+    parts = [queries.select("id", "v").where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g) for g in range(groups)]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # Groups are searched one after the other, and each leaves its queries' best only.
+    found = merged(found_by(parts[0]), k) if groups == 1 else None
+    for part in parts if groups > 1 else ():
+        one = write_shared(merged(found_by(part), k), "found")
+        found = one if found is None else found.union(one)
+    return found
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, ranked."""
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
