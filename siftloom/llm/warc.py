@@ -39,36 +39,41 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     name = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "urn:no-url")
     fields = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
+        "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}:{digest[:16]}>",
         "WARC-Date": DATE,
         "WARC-Target-URI": name,
         "WARC-Payload-Digest": f"sha256:{digest}",
     }
     if refers_to is not None:
-        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:page:{refers_to}>"}
+        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:page:{refers_to}:{digest[:16]}>"}
     fields |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
     lines = "".join(f"{k}: {v}\r\n" for k, v in fields.items())
     return VERSION + b"\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """Trained on the samples; their own bytes where they are too few or too alike for that."""
+    if len(samples) >= 16:
+        try:
+            return zstandard.train_dictionary(DICT_BYTES, samples)
+        except zstandard.ZstdError:
+            pass
+    # Bytes without the mark of a trained dictionary are content that frames may refer to.
+    return zstandard.ZstdCompressionDict(b"".join(samples)[-DICT_BYTES:].ljust(8, b" "))
+
+
 def archive(records: list[bytes]) -> bytes:
-    """The archive of the records; without dictionary if they are too few to train one."""
+    """The archive of the records: the dictionary's frame, then one of each."""
     samples, held = [], 0
     for r in records[:: max(1, len(records) // SAMPLES)]:
         samples.append(r[: SAMPLE_BYTES // 20])
         held += len(samples[-1])
         if held > SAMPLE_BYTES:
             break
-    lead, words = b"", None
-    if len(samples) >= 16:
-        try:
-            words = zstandard.train_dictionary(DICT_BYTES, samples)
-            packed = zstandard.ZstdCompressor().compress(words.as_bytes())
-            lead = struct.pack("<II", SKIPPABLE, len(packed)) + packed
-        except zstandard.ZstdError:  # samples too alike or too small
-            words = None
+    words = dictionary(samples)
+    packed = zstandard.ZstdCompressor().compress(words.as_bytes())
     press = zstandard.ZstdCompressor(level=3, dict_data=words)
-    return lead + b"".join(map(press.compress, records))
+    return struct.pack("<II", SKIPPABLE, len(packed)) + packed + b"".join(map(press.compress, records))
 
 
 def frames(content: bytes) -> Iterator[bytes]:
@@ -130,7 +135,7 @@ def parse(raw: bytes) -> dict:
         raise ValueError(f"bad record of type {kind}")
 
     def page(field: bytes) -> int | None:
-        m = re.fullmatch(rb"<urn:page:(-?[0-9]*)>", fields.get(field, b"<urn:page:>"))
+        m = re.fullmatch(rb"<urn:page:(-?[0-9]*):[0-9a-f]*>", fields.get(field, b"<urn:page::>"))
         if not m:
             raise ValueError(f"bad {field.decode()}")
         return int(m[1]) if m[1] else None
@@ -204,6 +209,13 @@ def unpack(archives: DataFrame, payloads: bool = True) -> DataFrame:
     return archives.select("archive", "content").mapInArrow(run, ", ".join(f"{k} {t}" for k, t in kinds.items()))
 
 
+def unresolved(records: DataFrame) -> DataFrame:
+    """Revisits of ``unpack`` that name no response with their digest: ``page_id, refers_to, payload_digest``. None, where archives are whole."""
+    one = ["refers_to", "payload_digest"]
+    held = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest")
+    return records.where("record_type = 'revisit'").join(held, one, "left_anti").select("page_id", *one)
+
+
 def save(archives: DataFrame, folder: str) -> DataFrame:
     """Write each archive as a file of ``folder``, a path or URI that all executors reach; ``(path, bytes)`` of what was written.
 
