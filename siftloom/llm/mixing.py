@@ -5,8 +5,8 @@ are prefix-summed in that order, one random offset per source is added, and a do
 boundary that its interval crosses. In order of size, any run of neighbours takes its share, so the words taken come
 within a few documents' words of the target.
 
-The prefix sum is in three levels, none of which brings a source to one task: sizes of a source, blocks of
-``BLOCK`` consecutive ids of a size, rows of a block. Each is a window over the rows of one group of the level above.
+The prefix sum brings neither a source nor the sources to one task: rows are range-partitioned by the whole order, with a row number as its last key, so
+that parts are even whatever repeats; each part counts its rows by source, and the counts of the parts before are added.
 """
 
 from __future__ import annotations
@@ -17,27 +17,42 @@ from pyspark.sql import functions as F
 
 from .common import WORD, table, write_shared
 
-WEIGHTS, SHARE, MOST, BLOCK, SEED = (5, 2, 1), 1.5, 2, 1024, "siftloom"
+WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "siftloom"
+
+
+def ranked(rows: DataFrame, order: list[str], within: list[str]) -> DataFrame:
+    """``rows`` with ``rank`` from 1 in the given order, whose last key is unique, within equal ``within``, the order's first keys (none: all)."""
+    parts = write_shared(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    upto = W.partitionBy(*within).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # A row for each part and group in it: parts are as many as tasks.
+    before = parts.groupBy(*within, "_part").agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in within], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    number = F.row_number().over(W.partitionBy("_part", *within).orderBy(*order))
+    same = F.col("_part") == F.col("_p")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = parts.withColumn("_number", number).join(before, same)
+    return out.withColumn("rank", F.col("_before") + F.col("_number")).select(*rows.columns, "rank")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
     """``(source, source_size, target)`` of ``(source, source_size)``: weights shared with caps.
 
-    Sources by code point, null last, weigh WEIGHTS in turn. With caps c and weights w the targets are
-    least(c, level * w); sources in order of c / w are capped as long as the level of the rest is above theirs. One window over the
-    sources, which are few beside the documents.
+    Sources by code point, null last, weigh WEIGHTS in turn. Shares above their source's cap stop there and the excess is
+    shared again by weight, until none is above. Each round is a sum over the sources.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * MOST)
-    rising = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = rising.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = rising.rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("total", F.sum("source_size").over(everything) * SHARE).withColumn("weights", F.sum("weight").over(everything))
-    spent, used = F.coalesce(F.sum("cap").over(before), F.lit(0)), F.coalesce(F.sum("weight").over(before), F.lit(0))
-    rows = rows.withColumn("capped", F.col("cap") / F.col("weight") < (F.col("total") - spent) / (F.col("weights") - used))
-    over, rest = F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(everything), F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).over(everything)
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * (F.col("total") - over) / rest)
+    keyed = sizes.withColumn("_null", F.col("source").isNull())
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("rank") - 1) % len(WEIGHTS) + 1).cast("int"))
+    rows = write_shared(ranked(keyed, ["_null", "source"], []).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * MOST).alias("cap")), "weights")
+    total = (rows.agg(F.sum("source_size")).first()[0] or 0) * SHARE
+    level, over, rest = -1.0, 0, 0
+    while True:
+        capped = F.col("cap") / F.col("weight") < level
+        over, rest = rows.agg(F.coalesce(F.sum(F.when(capped, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0))).first()
+        higher = (total - over) / rest if rest else level
+        if higher <= level:
+            break
+        level = higher
+    target = F.when(F.col("cap") / F.col("weight") < level, F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(total - over) / F.lit(max(1, rest)))
     return rows.select("source", "source_size", target.cast("double").alias("target"))
 
 
@@ -48,34 +63,18 @@ def offset(source: Column) -> Column:
 
 
 def copies(sized: DataFrame) -> DataFrame:
-    """``(doc_id, source, size)`` with ``source_size, target, copies``."""
-    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 62))).cast("long")  # null first
-    rows = sized.withColumn("block", block)
-    blocks = write_shared(rows.groupBy("source", "size", "block").agg(F.count("*").alias("n")), "blocks")
-    of_size = blocks.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    upto = write_shared(of_size.select("source", "size", before(W.partitionBy("source").orderBy("size")).alias("smaller")), "sizes")
-    aim = write_shared(targets(blocks.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "targets")
-    placed = blocks.select("source", "size", "block", before(W.partitionBy("source", "size").orderBy("block")).alias("earlier"))
-
-    def on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        return left.join(right, same).drop(*[f"_{k}" for k in keys])
-
-    starts = on(on(placed, upto, ["source", "size"]), aim, ["source"])
-    starts = starts.select("source", "size", "block", "source_size", "target", (F.col("smaller") + F.col("earlier")).alias("start"))
-    number = F.row_number().over(W.partitionBy("source", "size", "block").orderBy(F.col("doc_id").asc_nulls_first()))
-    rank = F.col("start") + F.col("number")
+    """``sized``, which has ``(doc_id, source, size, uid)`` with uid unique, with ``source_size, target, copies``."""
+    sums = write_shared(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    aim = targets(sums).select(F.col("source").alias("_source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = lambda r: F.floor(r * rate + offset(F.col("source")))
-    out = on(rows.withColumn("number", number), starts, ["source", "size", "block"])
-    return out.select("doc_id", "source", "size", "source_size", "target", (crossed(rank) - crossed(rank - 1)).alias("copies"))
+    out = ranked(sized, ["source", "size", "doc_id", "uid"], ["source"]).join(aim, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return out.withColumn("copies", crossed(F.col("rank")) - crossed(F.col("rank") - 1)).drop("rank")
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame) -> list[Column]:
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("uid")]
 
 
 def plan(docs: DataFrame) -> DataFrame:
@@ -84,22 +83,19 @@ def plan(docs: DataFrame) -> DataFrame:
     Null and empty texts have size 0 and take their turn at no cost; a null source is a source, the last; a null
     doc_id comes first within its size; of repeated rows each has a place of its own. No rows give no rows.
     """
-    return copies(write_shared(sized(docs), "sized"))
+    return copies(write_shared(docs.select(*sized(docs)), "sized")).drop("uid")
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, each as often as the mix takes it."""
-    keys = {"id": F.col("doc_id").cast("long"), "host": F.col("source").cast("string"), "words": F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")}
+    """Rows of ``docs``, each as often as the mix takes it, with their columns as they are.
+
+    Nulls, empty texts and repeated rows are as in ``plan``; which of several rows that agree in source, size and id is taken is arbitrary.
+    Rows are written with a number of their own, by which the plan finds them again: no key is shared.
+    """
     # As one struct, the columns of docs clash with no other.
-    rows = docs.select(F.struct("*").alias("doc"), *[v.alias(k) for k, v in keys.items()])
-    taken = plan(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("taken"), F.count("*").alias("among")).where("taken > 0")
-    out = rows.join(taken, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("host").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
-    # Rows that share id, source and size share their copies out; they are few, so the texts are sorted for them alone.
-    number = F.row_number().over(W.partitionBy("id", "host", "words").orderBy(F.xxhash64("doc.text")))
-    single, several = out.where("among = 1").select("doc", F.col("taken").alias("n")), out.where("among > 1").withColumn("k", number)
-    upto = lambda k: F.floor(F.col("taken") * k / F.col("among"))
-    several = several.select("doc", (upto(F.col("k")) - upto(F.col("k") - 1)).alias("n"))
-    return single.union(several).where("n > 0").select("doc", F.explode(F.expr("sequence(1, cast(n as int))"))).select("doc.*")
+    rows = write_shared(docs.select(*sized(docs), F.struct("*").alias("doc")), "numbered")
+    taken = copies(rows.drop("doc")).where("copies > 0").select("uid", F.col("copies").cast("int").alias("n"))
+    return rows.select("uid", "doc").join(taken, "uid").select("doc", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
