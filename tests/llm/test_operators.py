@@ -197,6 +197,34 @@ def test_mixing(spark):
     assert mixed == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
 
 
+def test_targets(spark):
+    """Shares of the excess go on until none is above its cap; weights go by code point, null last."""
+    for seed in range(3):
+        r = random.Random(seed)
+        sizes = {(None if i == 5 else f"s{r.randrange(10**6):06}Ä"[i % 2 :]): r.choice([0, 1, 5, 1000, 10**6]) for i in range(40)}
+        got = {x["source"]: x["target"] for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+        want, free = {}, set(order)
+        while True:
+            left = 1.5 * sum(sizes.values()) - sum(want.values())
+            share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+            above = [s for s in free if share[s] > 2 * sizes[s]]
+            if not above:
+                break
+            want |= {s: 2 * sizes[s] for s in above}
+            free -= set(above)
+        want |= share
+        assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], abs_tol=1e-6) for s in want)
+
+
+def test_ranks_do_not_need_distinct_keys(spark):
+    """All rows of one source, size and id, some null: positions are distinct and in order."""
+    df = spark.createDataFrame([(None if i % 2 else 7, "s", 1, i) for i in range(500)], "doc_id long, source string, size long, uid long").repartition(5)
+    got = sorted(mixing.ranked(df, ["source", "size", "doc_id", "uid"], ["source"]).collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in got] == list(range(1, 501)) and all(r["doc_id"] is None for r in got[:250])
+
+
 def test_top_k(spark):
     r = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(r.integers(-3, 4, (300, 6)) / 256)]
@@ -212,8 +240,22 @@ def test_top_k(spark):
     assert len(topk.top_k(df.where("id in (1, 50)"), df.where("id = 50")).collect()) == 1
 
 
-def test_sparse_postings(monkeypatch):
-    monkeypatch.setattr(topk, "FULL", 2.0)
+def test_query_groups_and_blocks(monkeypatch, spark, tmp_path):
+    """The registered query with many blocks of candidates and several groups of queries, against all pairs; ties and odd vectors included."""
+    monkeypatch.setattr(topk, "CANDIDATES", 37)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    r = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(r.integers(-2, 3, (700, 5)) / 256)] + [(800, None), (850, [float("inf")] * 5), (None, [0.0] * 5), (900, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    vectors = {i: np.floor(256 * np.array(v)) for i, v in rows if i is not None and v is not None and np.isfinite(v).all()}
+    want = {}
+    for q in [i for i in vectors if i % 50 == 0]:
+        best = sorted((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q)[:5]
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
+    assert {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.query(spark, str(tmp_path)).collect()} == want
+
+
+def test_sparse_postings():
     v = np.array([1, 0, 2, 0, 3, 4], np.int64)
     who, ids, scores = topk.search_block(np.array([9]), np.array([0, 2]), np.array([1, 1]), np.array([1, 2, 3]), np.array([0, 2, 4, 6]), v, 2)
     assert list(zip(who, ids, scores)) == [(9, 3, 7), (9, 2, 2)]
@@ -235,6 +277,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.unpack(warc.pack(df.limit(0))).collect() == []
 
 
+def test_warc_dictionary_and_links(spark):
+    """Archives of any number of records lead with a dictionary; revisits must name a response of their digest."""
+    for n in (1, 2, 15, 40):
+        records = [warc.record(i, "u", words(60, i).encode(), hashlib.sha256(words(60, i).encode()).hexdigest(), None) for i in range(n)]
+        content = warc.archive(records)
+        assert content[:4] == b"\x5d\x2a\x4d\x18" and list(warc.frames(content)) == records
+        with pytest.raises(ValueError):
+            list(warc.frames(content[:4] + b"\x00\x00\x00\x00" + content[8:]))
+    body = "same " * 40
+    good = warc.unpack(warc.pack(spark.createDataFrame([(1, "u", body), (2, "u", body), (3, "u", body)], "page_id long, url string, html string")))
+    assert warc.unresolved(good).count() == 0
+    assert sorted(r["page_id"] for r in warc.unresolved(good.where("page_id <> 1")).collect()) == [2, 3]
+    assert warc.unresolved(good.withColumn("payload_digest", F.when(F.col("page_id") == 2, "x").otherwise(F.col("payload_digest")))).first()["page_id"] == 2
+
+
 def test_warc_checks():
     records = [warc.record(i, "u", words(60, i).encode(), hashlib.sha256(words(60, i).encode()).hexdigest(), None) for i in range(40)]
     content = warc.archive(records)
