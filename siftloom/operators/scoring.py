@@ -43,13 +43,18 @@ def score(candidates: DataFrame) -> DataFrame:
 
 def apply_consistency(candidates: DataFrame) -> DataFrame:
     """A field that most records of a collection hold at one selector gains, one that few hold there loses."""
-    w = W.partitionBy("page_id", "rank", "name", "selector")
-    support = F.size(F.collect_set("record_ix").over(w))
-    records = F.size(F.collect_set("record_ix").over(W.partitionBy("page_id", "rank")))
-    share = support / records
+    # Counted per record first, so that a collection of any size is a few partial sums; the counts are joined back by what they count.
+    each = candidates.groupBy("page_id", "rank", "name", "selector", "record_ix").agg(F.lit(1).alias("_one"))
+    support = each.groupBy("page_id", "rank", "name", "selector").agg(F.count("*").alias("_support"))
+    total = candidates.select(*RECORD).distinct().groupBy("page_id", "rank").agg(F.count("*").alias("_records"))
+    counted = support.join(total, ["page_id", "rank"]).select(*[F.col(c).alias(f"_{c}") for c in ("page_id", "rank", "name", "selector")], "_support", "_records")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("page_id", "rank", "name", "selector")]
+    candidates = candidates.join(counted, same).drop("_page_id", "_rank", "_name", "_selector")
+    records = F.col("_records")
+    share = F.col("_support") / records
     more = F.when(share >= SHARE, F.array(signal("consistent across records", CONSISTENT, F.format_number(share, 2)))).when(share < LOW_SHARE, F.array(signal("rare in the collection", INCONSISTENT, F.format_number(share, 2))))
     out = candidates.withColumn("_more", F.when(records >= 2, more))
-    return score(out.withColumn("signals", F.when(F.col("_more").isNull(), F.col("signals")).otherwise(F.concat("signals", F.coalesce("_more", F.array().cast(f"array<{SIGNAL}>"))))).drop("_more"))
+    return score(out.withColumn("signals", F.when(F.col("_more").isNull(), F.col("signals")).otherwise(F.concat("signals", F.coalesce("_more", F.array().cast(f"array<{SIGNAL}>"))))).drop("_more", "_support", "_records"))
 
 
 def best_per_field(candidates: DataFrame) -> DataFrame:

@@ -8,27 +8,27 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.normalize import lookup, normalize_enum, squash
 from ..functions.urls import join_one
-from ..sources.html import Node, parse
+from ..sources.html import Node, parse, text_of
 from .scoring import base_signal, score
-from .tables import below, text_of
+from .tables import below
 
 # Fixed values.
 RECORD_TYPES = (
-    "product", "offer", "article", "newsarticle", "blogposting", "recipe", "event", "jobposting", "person", "organization", "localbusiness", "restaurant", "hotel", "book", "movie",
-    "course", "review", "place", "videoobject", "softwareapplication", "vehicle", "realestatelisting", "listitem",
+    "product", "offer", "article", "newsarticle", "blogposting", "jobposting", "event", "recipe", "review", "person", "organization", "localbusiness", "realestatelisting", "apartment", "house",
+    "course", "book", "movie", "videoobject", "softwareapplication", "service", "vehicle", "car",
 )
 NESTED_KEYS = ("itemListElement", "mainEntity", "hasPart", "item")
-META_PREFIXES = ("og:", "product:", "article:", "book:", "profile:", "twitter:", "video:")
-STATE_NAMES = ("__NEXT_DATA__", "__NUXT__", "__INITIAL_STATE__", "__PRELOADED_STATE__", "__APOLLO_STATE__", "__STATE__", "initialState", "__DATA__")
+META_PREFIXES = ("og:", "twitter:", "product:", "article:", "book:", "music:", "video:")
+STATE_NAMES = ("__NEXT_DATA__", "__NUXT__", "__INITIAL_STATE__", "__PRELOADED_STATE__", "__APOLLO_STATE__", "__REDUX_STATE__", "__data", "INITIAL_STATE")
 # End of fixed values.
 MOST_STATE, DEPTH = 4_000_000, 3
-STATE = re.compile(r"(?:window\.|var\s+|self\.)?(" + "|".join(map(re.escape, STATE_NAMES)) + r")\s*=\s*(?=[\[{])")
+STATE = re.compile(r"(?:window\.|self\.|globalThis\.|var\s+)?\b(" + "|".join(map(re.escape, STATE_NAMES)) + r")\s*=\s*(?=[\[{])")
 BLOCK = "page_id long, source string, ix int, types array<string>, data string, leaves array<struct<name:string,value:string>>"
 
 
@@ -97,24 +97,26 @@ def item_value(n: Node, url: str | None) -> str:
 
 
 def item(n: Node, url: str | None) -> dict:
+    """A microdata item with the items in it. A property that repeats is a list."""
     out: dict[str, Any] = {"@type": type_names(n.attrs.get("itemtype", "").split())}
-
-    def walk(x: Node) -> None:
-        for c in x.children:
-            names = c.attrs.get("itemprop", "").split()
-            if names:
-                value = item(c, url) if "itemscope" in c.attrs else item_value(c, url)
-                for k in names:
-                    out[k] = value if k not in out else [*(out[k] if isinstance(out[k], list) else [out[k]]), value]
-            if "itemscope" not in c.attrs:
-                walk(c)
-
-    walk(n)
+    stack = [(c, out) for c in reversed(n.children)]
+    while stack:
+        c, owner = stack.pop()
+        names = c.attrs.get("itemprop", "").split()
+        inner = owner
+        if "itemscope" in c.attrs:
+            inner = {"@type": type_names(c.attrs.get("itemtype", "").split())}
+        if names:
+            value = inner if inner is not owner else item_value(c, url)
+            for k in names:
+                owner[k] = value if k not in owner else [*(owner[k] if isinstance(owner[k], list) else [owner[k]]), value]
+        if inner is owner or names:  # an item that is no property is another's
+            stack.extend((x, inner) for x in reversed(c.children))
     return out
 
 
-def page_blocks(url: str | None, html: str | None) -> Iterator[tuple[str, list[str], Any]]:
-    root = parse(html)
+def page_blocks(url: str | None, html: str | None, root: Node | None = None) -> Iterator[tuple[str, list[str], Any]]:
+    root = root or parse(html)
     for s in below(root, ("script",)):
         kind = s.attrs.get("type", "").lower()
         if kind.startswith("application/ld+json"):
@@ -148,24 +150,47 @@ def page_blocks(url: str | None, html: str | None) -> Iterator[tuple[str, list[s
         yield "opengraph", [], {k.split(":", 1)[-1]: v for k, v in reversed(meta.items()) if v}
 
 
+PAIR = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+BLOCKS = pa.schema([("page_id", pa.int64()), ("source", pa.string()), ("ix", pa.int32()), ("types", pa.list_(pa.string())), ("data", pa.string()), ("leaves", PAIR)])
+MOST_NESTING = 200
+
+
+def page_rows(page_id: int, url: str | None, root: Node) -> list[dict]:
+    """Blocks of a page as rows; what is nested too deep to be written as JSON is left out."""
+    held = []
+    for i, (source, types, value) in enumerate(page_blocks(url, None, root)):
+        flat = [{"name": k, "value": v} for k, v in leaves(value)] if source != "embedded_json" else []
+        try:
+            held.append({"page_id": page_id, "source": source, "ix": i, "types": types, "data": json.dumps(cut(value), ensure_ascii=False), "leaves": flat})
+        except (RecursionError, ValueError):
+            continue
+    return held
+
+
+def cut(value: Any, depth: int = MOST_NESTING) -> Any:
+    """The value down to a depth, beyond which there is null."""
+    if not isinstance(value, (dict, list)):
+        return value
+    if not depth:
+        return None
+    return {k: cut(v, depth - 1) for k, v in value.items()} if isinstance(value, dict) else [cut(v, depth - 1) for v in value]
+
+
+def may_have_blocks(html: Column) -> Column:
+    low = F.lower(html)
+    return low.contains("application/") | low.contains("itemscope") | low.rlike(r"<(meta|link)\b") | low.rlike("|".join(n.lower() for n in STATE_NAMES))
+
+
 def blocks(pages: DataFrame) -> DataFrame:
     """Blocks of ``(page_id, url, html)``: source, order, types, the JSON and its named scalar values. Pages with none are not parsed."""
-    pair = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
-    kind = pa.schema([("page_id", pa.int64()), ("source", pa.string()), ("ix", pa.int32()), ("types", pa.list_(pa.string())), ("data", pa.string()), ("leaves", pair)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = []
-            for page_id, url, html in zip(*(c.to_pylist() for c in b.columns)):
-                for i, (source, types, value) in enumerate(page_blocks(url, html)):
-                    flat = [{"name": k, "value": v} for k, v in leaves(value)] if source != "embedded_json" else []
-                    held.append({"page_id": page_id, "source": source, "ix": i, "types": types, "data": json.dumps(value, ensure_ascii=False), "leaves": flat})
+            held = [row for page_id, url, html in zip(*(c.to_pylist() for c in b.columns)) for row in page_rows(page_id, url, parse(html))]
             if held:
-                yield pa.RecordBatch.from_pylist(held, kind)
+                yield pa.RecordBatch.from_pylist(held, BLOCKS)
 
-    low = F.lower("html")
-    has = low.contains("application/") | low.contains("itemscope") | low.rlike(r"<(meta|link)\b") | low.rlike("|".join(n.lower() for n in STATE_NAMES))
-    return pages.where(has).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, BLOCK)
+    return pages.where(may_have_blocks(F.col("html"))).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, BLOCK)
 
 
 def type_counts(found: DataFrame) -> DataFrame:

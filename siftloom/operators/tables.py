@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.normalize import infer_type, lookup, squash, tokens_of
-from ..sources.html import SPACE, Node, parse
+from ..sources.html import Node, parse, text_of
 from ..functions.urls import join_one
 from .scoring import base_signal, confidence, signal
 
 MOST_SPAN, MOST_COLUMNS, LONGEST_NAME = 20, 60, 48
-CELL = "page_id long, table_id int, nested boolean, row int, column int, head boolean, span int, text string, link string, image string, row_node int"
+CELL = "page_id long, table_id int, nested boolean, inside boolean, row int, column int, head boolean, span int, text string, link string, image string, row_node int"
 
 
 def below(n: Node, tags: tuple[str, ...], stop: tuple[str, ...] = ()) -> list[Node]:
@@ -30,13 +30,6 @@ def below(n: Node, tags: tuple[str, ...], stop: tuple[str, ...] = ()) -> list[No
     return out
 
 
-def text_of(n: Node) -> str:
-    parts = [n.text]
-    for c in n.children:
-        parts += [text_of(c), c.tail]
-    return SPACE.sub(" ", "".join(parts)).strip()
-
-
 def span(n: Node, name: str) -> int:
     raw = n.attrs.get(name, "1").strip()
     return min(MOST_SPAN, max(1, int(raw))) if raw.isdigit() and len(raw) < 6 else 1
@@ -75,25 +68,33 @@ def grid(table: Node, url: str | None) -> list[list[dict]]:
     return out
 
 
+CELLS = pa.schema([("page_id", pa.int64()), ("table_id", pa.int32()), ("nested", pa.bool_()), ("inside", pa.bool_()), ("row", pa.int32()), ("column", pa.int32()), ("head", pa.bool_()), ("span", pa.int32()), ("text", pa.string()), ("link", pa.string()), ("image", pa.string()), ("row_node", pa.int32())])
+
+
+def page_cells(page_id: int, url: str | None, root: Node) -> list[dict]:
+    """Cells of all tables of a page; tables are named by their node's place in document order."""
+    number, stack = 0, [root]
+    while stack:
+        n = stack.pop()
+        n.id, number = number, number + 1
+        stack.extend(reversed(n.children))
+    every = below(root, ("table",))
+    within = {id(x) for t in every for x in below(t, ("table",))} if len(every) > 1 else set()
+    return [
+        {"page_id": page_id, "table_id": t.id, "nested": bool(below(t, ("table",))), "inside": id(t) in within, "row": i, "column": j, **c}
+        for t in every for i, row in enumerate(grid(t, url)) for j, c in enumerate(row)
+    ]
+
+
 def cells(pages: DataFrame) -> DataFrame:
     """Cells of all tables of ``(page_id, url, html)``; pages without a table are not parsed."""
-    kind = pa.schema([("page_id", pa.int64()), ("table_id", pa.int32()), ("nested", pa.bool_()), ("row", pa.int32()), ("column", pa.int32()), ("head", pa.bool_()), ("span", pa.int32()), ("text", pa.string()), ("link", pa.string()), ("image", pa.string()), ("row_node", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: list[dict] = []
             for page_id, url, html in zip(*(c.to_pylist() for c in b.columns)):
-                root = parse(html)
-                number, stack = 0, [root]
-                while stack:
-                    n = stack.pop()
-                    n.id, number = number, number + 1
-                    stack.extend(reversed(n.children))
-                for t in below(root, ("table",)):
-                    nested = bool(below(t, ("table",)))
-                    held += [{"page_id": page_id, "table_id": t.id, "nested": nested, "row": i, "column": j, **c} for i, row in enumerate(grid(t, url)) for j, c in enumerate(row)]
-            if held:
-                yield pa.RecordBatch.from_pylist(held, kind)
+                held = page_cells(page_id, url, parse(html))
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, CELLS)
 
     has = pages.where(F.lower("html").contains("<table"))
     return has.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, CELL)
@@ -113,16 +114,16 @@ def laid_out(cells: DataFrame) -> DataFrame:
 
 def tables(cells: DataFrame, min_rows: int = 2) -> DataFrame:
     """``page_id, table_id, rows, width, headed, confidence`` of the tables that hold data, ``rank`` 1 the best of its page."""
-    rows = laid_out(cells).groupBy("page_id", "table_id", "row").agg(F.first("header_row").alias("header_row"), F.first("width").alias("width"), F.first("nested").alias("nested"))
+    rows = laid_out(cells).groupBy("page_id", "table_id", "row").agg(F.first("header_row").alias("header_row"), F.first("width").alias("width"), F.first("nested").alias("nested"), F.first("inside").alias("inside"))
     body = rows.where("not header_row")
     modal = body.groupBy("page_id", "table_id", "width").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     modal = modal.groupBy("page_id", "table_id").agg(F.max_by("width", F.struct("n", -F.col("first"))).alias("modal"))
     shape = rows.join(modal, ["page_id", "table_id"]).groupBy("page_id", "table_id").agg(
-        F.sum(F.when(~F.col("header_row"), 1).otherwise(0)).alias("rows"), F.first("modal").alias("width"), F.bool_or("header_row").alias("headed"), F.bool_or("nested").alias("nested"),
+        F.sum(F.when(~F.col("header_row"), 1).otherwise(0)).alias("rows"), F.first("modal").alias("width"), F.bool_or("header_row").alias("headed"), F.bool_or("nested").alias("nested"), F.bool_or("inside").alias("inside"),
         F.avg(F.when(~F.col("header_row"), (F.col("width") == F.col("modal")).cast("double"))).alias("even"),
     )
     when = lambda c, w: F.when(c, w).otherwise(0.0)
-    score = 0.3 + when(F.col("headed"), 0.25) + 0.25 * F.col("even") + when(F.col("nested"), -0.3) + when((F.col("rows") >= 3) & (F.col("width") >= 3), 0.1)
+    score = 0.3 + when(F.col("headed"), 0.25) + 0.25 * F.col("even") + when(F.col("nested"), -0.3) + when(F.col("inside"), -0.15) + when((F.col("rows") >= 3) & (F.col("width") >= 3), 0.1)
     found = shape.where((F.col("rows") >= min_rows) & (F.col("width") >= 2)).withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 4))
     best = W.partitionBy("page_id").orderBy(F.desc("confidence"), F.desc("rows"), "table_id")
     return found.withColumn("rank", F.row_number().over(best)).select("page_id", "table_id", "rows", "width", "headed", "confidence", "rank")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from ..functions import normalize as N
 from ..functions import patterns as P
 from ..functions import urls as U
 from ..operators import brief, collections, css, jobs, navigation, records, scoring, structured, tables
+from ..shared import shared_dir, write_shared
 from ..sources.html import shred
 from . import rendered
 from .extract import configured, extract, nodes_of, page_titles
@@ -295,7 +295,7 @@ def follow_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey FROM customer")
 def pagination_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer, page after page from the first."""
-    pages = rendered.customer_pages(table(spark, sf_dir, "customer")).persist()
+    pages = write_shared(rendered.customer_pages(table(spark, sf_dir, "customer")), "pages")
     nodes = nodes_of(pages)
     ahead = navigation.next_pages(nodes, pages).select("page_id", F.col("url").alias("next_url")).join(pages.select("page_id", "url"), "page_id")
     starts = spark.createDataFrame([(1, "http://customers.example.com/list?page=1")], "source_id long, url string")
@@ -344,8 +344,7 @@ def stream_new_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.pages import PAGES, new_content
 
     stream = spark.readStream.schema(PAGES).option("pathGlobFilter", "pages.parquet" if not _is_folder(spark, sf_dir) else "*.parquet").parquet(f"{sf_dir}/pages.parquet" if _is_folder(spark, sf_dir) else sf_dir)
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siftloom-")
-    home = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     done = new_content(stream).select("content_hash").writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.schema("content_hash string").parquet(f"{home}/out")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import alignment, collections, css, fields, records, scoring, structured, tables
-from ..sources.html import shred
+from ..shared import write_shared
+from ..sources.html import KIND, NODE, parse, shred
+from ..sources.html import rows as html_rows
 
 STRUCTURED_QUALITY, SINGLE_QUALITY = 0.95, 0.3
 COLUMNS = ("page_id", "rank", "record_ix", "ord", "name", "value", "source", "selector", "node_id", "end_id", "signals")
@@ -33,7 +38,47 @@ class Options:
 
 def nodes_of(pages: DataFrame) -> DataFrame:
     """The pages' nodes, dealt by page: all later steps group by page and find its rows together."""
-    return shred(pages).repartition("page_id").persist()
+    return write_shared(shred(pages).repartition("page_id"), "nodes")
+
+
+def parts_of(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, table cells and structured blocks of ``(page_id, url, html)``: each page is parsed once.
+
+    A row of the written table is one of the three, in a column of its own, so each is read without the others.
+    """
+    kinds = {"node": KIND, "cell": tables.CELLS, "block": structured.BLOCKS}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(name: str, held: list[dict]) -> pa.RecordBatch:
+            columns = [pa.array(held, pa.struct(k)) if n == name else pa.nulls(len(held), pa.struct(k)) for n, k in kinds.items()]
+            return pa.RecordBatch.from_arrays([pa.array([r["page_id"] for r in held], pa.int64()), *columns], ["page_id", *kinds])
+
+        nodes: list[dict] = []
+        for b in batches:
+            for page_id, url, html in zip(*(c.to_pylist() for c in b.columns)):
+                root = parse(html)
+                nodes += html_rows(page_id, url, None, root)
+                low = (html or "").lower()
+                cells = tables.page_cells(page_id, url, root) if "<table" in low else []
+                for name, held in (("cell", cells), ("block", structured.page_rows(page_id, url, root))):
+                    if held:
+                        yield batch(name, held)
+                if len(nodes) > 20_000:
+                    yield batch("node", nodes)
+                    nodes = []
+        if nodes:
+            yield batch("node", nodes)
+
+    columns = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    shape = f"_page long, node struct<{fields_of(NODE)}>, cell struct<{fields_of(tables.CELL)}>, block struct<{fields_of(structured.BLOCK)}>"
+    parsed = write_shared(columns.mapInArrow(run, shape.replace("_page", "page_id", 1)).repartition("page_id"), "parts")
+    one = lambda name: parsed.where(F.col(name).isNotNull()).select(f"{name}.*")
+    return one("node"), one("cell"), one("block")
+
+
+def fields_of(ddl: str) -> str:
+    """A column list as the fields of a struct."""
+    return re.sub(r"(^|, )(\w+) ", r"\1\2: ", ddl)
 
 
 def configured(nodes: DataFrame, members: DataFrame, specs: dict[str, dict]) -> DataFrame | None:
@@ -67,7 +112,8 @@ def dom_members(nodes: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
         ix = F.row_number().over(W.partitionBy("page_id").orderBy("node_id")) - 1
         members = hit.select("page_id", F.lit(1).alias("rank"), ix.alias("record_ix"), "node_id", "end_id", "depth")
         return members, members.select("page_id", F.lit(1.0).alias("quality")).distinct()
-    first = collections.discover(nodes, o.min_records).where("rank = 1").persist()
+    first = collections.discover(nodes, o.min_records).where("rank = 1")
+    first = write_shared(first, "collections")
     return collections.records(first), first.select("page_id", F.col("confidence").alias("quality"))
 
 
@@ -84,15 +130,13 @@ def extract(pages: DataFrame, options: Options | None = None) -> DataFrame:
     then in that order. A page without any is one record of what it says of itself, if that is more than its address.
     """
     o = options or Options()
-    nodes = nodes_of(pages)
+    nodes, cells, blocks = parts_of(pages)
     members, quality = dom_members(nodes, o)
     shape = [*COLUMNS, "confidence"]
     attempts = [(3, "dom", scoring.best_per_field(dom_fields(nodes, members, o)).select(*shape), quality)]
     if o.include_tables:
-        cells = tables.cells(pages).persist()
         best = tables.tables(cells, o.min_records).where("rank = 1")
         attempts.append((2, "table", tables.table_fields(cells, best).select(*shape), best.select("page_id", F.col("confidence").alias("quality"))))
-    blocks = structured.blocks(pages).persist()
     if o.include_structured:
         chosen = structured.record_groups(blocks, o.min_records).select("page_id", F.posexplode("members").alias("record_ix", "ix"))
         one = blocks.join(chosen, ["page_id", "ix"])
@@ -103,9 +147,9 @@ def extract(pages: DataFrame, options: Options | None = None) -> DataFrame:
         part = rows.join(q, "page_id").withColumns({"attempt": F.lit(n), "strategy": F.lit(name)})
         every = part if every is None else every.unionByName(part)
     # The page's own record stands in only where nothing else does.
-    size = F.size(F.collect_set("record_ix").over(W.partitionBy("page_id", "attempt")))
+    sizes = every.select("page_id", "attempt", "record_ix").distinct().groupBy("page_id", "attempt").agg(F.count("*").alias("size"))
     state = F.struct((F.col("attempt") < 4).alias("a"), F.col("quality").alias("q"), F.col("size").alias("s"), (-F.col("attempt")).alias("o"))
-    ranked = every.withColumn("size", size).withColumn("state", state).withColumn("best", F.max("state").over(W.partitionBy("page_id"))).where("state = best")
+    ranked = every.join(sizes, ["page_id", "attempt"]).withColumn("state", state).withColumn("best", F.max("state").over(W.partitionBy("page_id"))).where("state = best")
     ranked = ranked.where(F.col("record_ix") < o.max_records_per_page)
     typed = records.finalize(ranked, o.wanted, o.renames)
     alone = F.count("*").over(W.partitionBy("page_id", "record_ix"))

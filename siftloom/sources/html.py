@@ -8,6 +8,7 @@ end tags without a start are ignored. Nodes are numbered in document order, and
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -116,9 +117,24 @@ def stable_classes(raw: str) -> list[str]:
     return sorted({re.sub(r"\d+", "#", t.lower()) for t in raw.split() if 1 < len(t) <= 40 and not HASHY.match(t)})
 
 
-def rows(page_id: int, url: str | None, html: str | None) -> list[dict]:
-    """Rows of NODE for one page. Long chains of elements are walked without recursion."""
-    root = parse(html)
+def text_of(n: Node) -> str:
+    """Text of a node and all below, in one line."""
+    parts: list[str] = []
+    stack: list[Node | str] = [n]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            parts.append(x)
+            continue
+        parts.append(x.text)
+        for c in reversed(x.children):
+            stack += [c.tail, c]
+    return SPACE.sub(" ", "".join(parts)).strip()
+
+
+def rows(page_id: int, url: str | None, html: str | None, root: Node | None = None) -> list[dict]:
+    """Rows of NODE for one page, parsed before or now. Long chains of elements are walked without recursion, and each child list once."""
+    root = root or parse(html)
     order: list[Node] = []
     stack = [root]
     while stack:
@@ -143,11 +159,19 @@ def rows(page_id: int, url: str | None, html: str | None) -> list[dict]:
     out: list[dict] = []
     steps: list[list[str]] = []
     paths: list[str] = []
+    # Of each node: its place among its siblings, among those of its tag, and their number.
+    place = [(0, 0, 1)] * len(order)
+    for p in order:
+        of_tag = Counter(c.tag for c in p.children)
+        met: Counter[str] = Counter()
+        for i, c in enumerate(p.children):
+            place[c.id] = (i, met[c.tag], of_tag[c.tag])
+            met[c.tag] += 1
     for n in order:
         p = n.parent
-        same = [c for c in p.children if c.tag == n.tag] if p else [n]
+        sibling, nth, alike = place[n.id]
         classes = n.attrs.get("class", "").split()[:2]
-        step = n.tag + "".join(f".{c}" for c in classes) if classes else f"{n.tag}:nth-of-type({same.index(n) + 1})" if len(same) > 1 else n.tag
+        step = n.tag + "".join(f".{c}" for c in classes) if classes else f"{n.tag}:nth-of-type({nth + 1})" if alike > 1 else n.tag
         up = steps[p.id] if p else []
         steps.append([*up, step])
         if n.attrs.get("id"):
@@ -159,8 +183,8 @@ def rows(page_id: int, url: str | None, html: str | None) -> list[dict]:
         paths.append(path)
         attrs = {k: (join_one(base, v) or v) if k in LINKS and not v.startswith("data:") else v for k, v in n.attrs.items()}
         out.append({
-            "page_id": page_id, "node_id": n.id, "end_id": n.end, "parent_id": p.id if p else -1, "depth": len(steps[-1]) - 1, "sib_pos": p.children.index(n) if p else 0,
-            "nth_of_type": same.index(n) + 1, "n_of_type": len(same), "tag": n.tag, "attrs": list(attrs.items()), "text": n.text, "tail": n.tail, "sub_text": SPACE.sub(" ", said[n.id]).strip(),
+            "page_id": page_id, "node_id": n.id, "end_id": n.end, "parent_id": p.id if p else -1, "depth": len(steps[-1]) - 1, "sib_pos": sibling,
+            "nth_of_type": nth + 1, "n_of_type": alike, "tag": n.tag, "attrs": list(attrs.items()), "text": n.text, "tail": n.tail, "sub_text": SPACE.sub(" ", said[n.id]).strip(),
             "n_children": len(n.children), "n_desc": count[n.id][0], "n_link": count[n.id][1], "n_img": count[n.id][2], "n_head": count[n.id][3],
             "child_tags": [c.tag for c in n.children if c.tag not in SKIP_TAGS][:24], "classes": stable_classes(n.attrs.get("class", "")), "steps": steps[-1], "path": path or n.tag,
         })
