@@ -63,13 +63,13 @@ def unseen(records: DataFrame, seen: DataFrame, keys: list[str] | None = None) -
     return records.withColumn("key", dedupe_key(keys)).join(seen, "key", "left_anti").drop("key")
 
 
-def follow_merge(listing: DataFrame, detail: DataFrame, prefer: str = "detail") -> DataFrame:
-    """Listing records with what their own page says: ``detail(url, fields)`` joined on the record's url.
+def follow_merge(listing: DataFrame, detail: DataFrame, prefer: str = "detail", by: str = "url") -> DataFrame:
+    """Listing records with what their own page says: ``detail(url, fields)`` joined on the record's url, or another field.
 
     The preferred side wins; the listing's url stays, and so does a title that the other title merely extends. Records without a detail stay as they are.
     """
     other = detail.select(F.col("url").alias("_url"), F.col("fields").alias("_more")).dropDuplicates(["_url"])
-    joined = listing.join(other, value("url") == F.col("_url"), "left")
+    joined = listing.join(other, value(by) == F.col("_url"), "left")
     a, b = F.col("fields"), F.col("_more")
     first, second = (b, a) if prefer == "detail" else (a, b)
     merged = F.map_concat(F.map_filter(second, lambda k, _: ~F.map_contains_key(first, k)), first)
@@ -79,9 +79,9 @@ def follow_merge(listing: DataFrame, detail: DataFrame, prefer: str = "detail")
     return joined.withColumn("fields", F.when(b.isNull(), a).otherwise(final)).drop("_url", "_more")
 
 
-def follow_budget(records: DataFrame, budget: int, host: Column, order: tuple[str, ...] = POSITION) -> DataFrame:
+def follow_budget(records: DataFrame, budget: int, host: Column, order: tuple[str, ...] = POSITION, by: str = "url") -> DataFrame:
     """Distinct addresses to follow, of the same host, the first ``budget`` of them."""
-    urls = records.withColumn("url", value("url")).where(F.col("url").rlike("^https?://") & host)
+    urls = records.withColumn("url", value(by)).where(F.col("url").rlike("^https?://") & host)
     first = urls.groupBy("url").agg(F.min(F.struct(*order)).alias("at"))
     return first.orderBy("at").limit(budget).select("url")
 

@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.normalize import normalize_text
 from ..operators import alignment, collections, css, fields, records, scoring, structured, tables
 from ..shared import write_shared
 from ..sources.html import KIND, NODE, parse, shred
 from ..sources.html import rows as html_rows
 
-STRUCTURED_QUALITY, SINGLE_QUALITY = 0.95, 0.3
+STRUCTURED_QUALITY, SINGLE_QUALITY, PAGE_NODES = 0.95, 0.3, 4000
+# Fixed value: elements that show nothing.
+INVISIBLE = ("script", "style", "noscript", "template", "svg", "head", "meta", "link")
 COLUMNS = ("page_id", "rank", "record_ix", "ord", "name", "value", "source", "selector", "node_id", "end_id", "signals")
 
 
@@ -129,8 +132,12 @@ def extract(pages: DataFrame, options: Options | None = None) -> DataFrame:
     Structured data, the best table and the best collection each make an attempt; a page keeps the attempt of highest quality, then of most records,
     then in that order. A page without any is one record of what it says of itself, if that is more than its address.
     """
+    return extract_parts(pages, *parts_of(pages), options)
+
+
+def extract_parts(pages: DataFrame, nodes: DataFrame, cells: DataFrame, blocks: DataFrame, options: Options | None = None) -> DataFrame:
+    """As ``extract``, of pages that are parsed."""
     o = options or Options()
-    nodes, cells, blocks = parts_of(pages)
     members, quality = dom_members(nodes, o)
     shape = [*COLUMNS, "confidence"]
     attempts = [(3, "dom", scoring.best_per_field(dom_fields(nodes, members, o)).select(*shape), quality)]
@@ -180,5 +187,68 @@ def page_titles(nodes: DataFrame) -> DataFrame:
 
 def process(pages: DataFrame, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
     """Records of pages, and the problems of those that did not pass."""
+    return process_parts(pages, *parts_of(pages), options)
+
+
+def process_parts(pages: DataFrame, nodes: DataFrame, cells: DataFrame, blocks: DataFrame, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
+    """As ``process``, of pages that are parsed."""
     o = options or Options()
-    return records.validate(records.assemble(extract(pages, o)), o.required, o.min_confidence)
+    return records.validate(records.assemble(extract_parts(pages, nodes, cells, blocks, o)), o.required, o.min_confidence)
+
+
+def main_content(nodes: DataFrame) -> DataFrame:
+    """The node of each page that holds what it is about: main, article, by role or id, else the body, else the root."""
+    known = (F.col("tag") == "main", F.col("tag") == "article", F.element_at("attrs", "role") == "main", F.element_at("attrs", "id") == "content", F.element_at("attrs", "id") == "main", F.col("tag") == "body", F.col("node_id") == 0)
+    place = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), i) for i, c in enumerate(known)])
+    first = nodes.withColumn("_p", place).where("_p is not null").groupBy("page_id").agg(F.min_by(F.struct("node_id", "end_id", "depth"), F.struct("_p", "node_id")).alias("m"))
+    return first.select("page_id", F.lit(1).alias("rank"), F.lit(0).alias("record_ix"), "m.*")
+
+
+def extract_one(pages: DataFrame, options: Options | None = None) -> DataFrame:
+    """``page_id, fields, confidence``: all that each page says of the one thing it is about.
+
+    Its structured data, title and address come first; then pairs of a label and a value in its tables; then what its main content's markup
+    names. A field is taken from the first of these that has it. Configured fields go before all.
+    """
+    o = options or Options()
+    nodes, cells, blocks = parts_of(pages)
+    shape = [*COLUMNS, "confidence"]
+    members = main_content(nodes)
+    own = scoring.best_per_field(single_record(pages, nodes, blocks)).select(*shape)
+    row = lambda df: df.select("page_id", F.lit(1).alias("rank"), F.lit(0).alias("record_ix"), F.lit(0).cast("long").alias("ord"), "name", "value", F.lit("table").alias("source"), F.concat(F.lit("table "), "name").alias("selector"), F.lit(-1).alias("node_id"), F.lit(-1).alias("end_id"), F.array(scoring.base_signal("table")).alias("signals"))
+    tiers = [(1, own), (2, scoring.score(row(tables.property_pairs(cells))).select(*shape)), (3, scoring.best_per_field(fields.candidates(nodes, members, most=PAGE_NODES)).select(*shape))]
+    named = configured(nodes, members, o.fields)
+    if named is not None:
+        tiers.append((0, scoring.best_per_field(scoring.score(named)).select(*shape)))
+    every = None
+    for tier, df in tiers:
+        df = df.withColumn("tier", F.lit(tier))
+        every = df if every is None else every.unionByName(df)
+    first = every.withColumn("_n", F.row_number().over(W.partitionBy("page_id", "name").orderBy("tier", F.desc("confidence"), "ord"))).where("_n = 1").drop("_n", "tier")
+    one = first.withColumns({"rank": F.lit(1), "record_ix": F.lit(0)})
+    return records.assemble(records.finalize(one, o.wanted, o.renames)).drop("rank", "record_ix")
+
+
+def page_links(nodes: DataFrame) -> DataFrame:
+    """``page_id, n, url, text, rel, title`` of each page's links, in order."""
+    said = lambda a: normalize_text(F.element_at("attrs", a))
+    a = nodes.where((F.col("tag") == "a") & (F.coalesce(F.element_at("attrs", "href"), F.lit("")) != ""))
+    n = F.row_number().over(W.partitionBy("page_id").orderBy("node_id"))
+    return a.select("page_id", n.alias("n"), F.element_at("attrs", "href").alias("url"), F.substring("sub_text", 1, 300).alias("text"), said("rel").alias("rel"), said("title").alias("title"))
+
+
+def page_images(nodes: DataFrame) -> DataFrame:
+    """``page_id, n, url, alt, title, width, height`` of each page's images, in order; those without an address are left out."""
+    size = lambda a: F.element_at("attrs", a).try_cast("double").cast("int")
+    said = lambda a: normalize_text(F.element_at("attrs", a))
+    img = nodes.where(F.col("tag") == "img").withColumn("url", fields.image_url()).where("url is not null")
+    n = F.row_number().over(W.partitionBy("page_id").orderBy("node_id"))
+    return img.select("page_id", n.alias("n"), "url", said("alt").alias("alt"), said("title").alias("title"), size("width").alias("width"), size("height").alias("height"))
+
+
+def visible_text(nodes: DataFrame) -> DataFrame:
+    """``page_id, text``: what a reader sees of each page: of each element that shows its own text, then what follows it, a space between."""
+    shown = nodes.where(~F.col("tag").isin(*INVISIBLE))
+    pieces = F.filter(F.array("text", "tail"), lambda x: x != "")
+    held = shown.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", pieces.alias("p")))).alias("p"))
+    return held.select("page_id", normalize_text(F.array_join(F.flatten(F.transform("p", lambda x: x["p"])), " ")).alias("text"))
