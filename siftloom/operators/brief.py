@@ -27,18 +27,22 @@ def brief(nodes: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def gate(proposals: DataFrame, columns: DataFrame, min_coverage: float = 0.8, max_fields: int = 24) -> DataFrame:
-    """``ord, field, id`` proposals against ``id, coverage`` columns, with ``status`` and ``reason``.
+    """``ord, field, id`` proposals against ``id, coverage`` columns, with ``name``, ``status`` and ``reason``.
 
-    A field needs a usable name, a column that exists and covers enough records, and neither its name nor its column taken by an earlier accepted
-    one; beyond ``max_fields`` the rest is rejected.
+    In order: after ``max_fields`` accepted ones the rest is rejected; a name must be usable, and not that of an accepted field before;
+    the column must exist and cover enough records.
     """
-    judged = proposals.withColumn("name", slug("field")).join(columns.select("id", "coverage"), "id", "left")
-    reason = F.when(F.col("name").isNull(), "bad name").when(F.col("coverage").isNull(), "unknown column").when(F.col("coverage") < min_coverage, "low coverage")
-    judged = judged.withColumn("reason", reason)
-    fine = F.col("reason").isNull()
-    first = lambda key: F.min(F.when(fine, F.col("ord"))).over(W.partitionBy(key))
-    judged = judged.withColumns({"by_name": first("name"), "by_id": first("id")})
-    judged = judged.withColumn("reason", F.coalesce("reason", F.when(F.col("ord") > F.col("by_name"), "name taken").when(F.col("ord") > F.col("by_id"), "column taken")))
-    place = F.sum(F.col("reason").isNull().cast("int")).over(W.orderBy("ord"))  # proposals are a handful
-    judged = judged.withColumn("reason", F.coalesce("reason", F.when(place > max_fields, "too many fields")))
-    return judged.select("ord", "field", "id", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected").alias("status"), "reason")
+    name = slug("field")
+    usable = F.when(name.rlike("^[a-z][a-z0-9_]{1,39}$"), name)
+    judged = proposals.withColumn("name", usable).join(columns.select("id", "coverage"), "id", "left")
+    own = F.when(F.col("name").isNull(), "not a usable field name").when(F.col("coverage").isNull(), "no such column").when(F.col("coverage") < min_coverage, "too few records")
+    judged = judged.withColumn("own", own)
+    # Among proposals of a name the first that stands by itself is accepted; names are bounded by the proposal's length.
+    first = F.min(F.when(F.col("own").isNull(), F.col("ord"))).over(W.partitionBy("name"))
+    judged = judged.withColumn("first", first)
+    repeated = F.col("name").isNotNull() & (F.col("ord") > F.col("first"))
+    judged = judged.withColumn("reason", F.when(F.col("name").isNull(), F.col("own")).when(repeated, "duplicate name").otherwise(F.col("own")))
+    before = W.orderBy("ord").rowsBetween(W.unboundedPreceding, -1)  # proposals are a handful
+    full = F.coalesce(F.sum(F.col("reason").isNull().cast("int")).over(before), F.lit(0)) >= max_fields
+    judged = judged.withColumn("reason", F.when(full, "field limit reached").otherwise(F.col("reason")))
+    return judged.select("ord", "field", "id", "name", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected").alias("status"), "reason")

@@ -14,11 +14,12 @@ KEY_FIELDS = ("url", "sku", "email")
 POSITION = ("page_id", "rank", "record_ix")
 
 
-def finalize(best: DataFrame, wanted: list[str] | None = None, renames: dict[str, str] | None = None) -> DataFrame:
+def finalize(best: DataFrame, wanted: list[str] | None = None, renames: dict[str, str] | None = None, types: dict[str, str] | None = None) -> DataFrame:
     """Chosen candidates as typed fields, ``raw`` what the page said: restricted to the wanted ones, enumerations in words, empty values dropped, renamed."""
     renames = renames or {}
     keep = best.where(F.col("name").isin(*wanted, *[k for k, v in renames.items() if v in wanted])) if wanted else best
-    target = F.coalesce(lookup(L.FIELD_TYPES, F.col("name")), F.lit("string"))
+    given = [lookup(types, F.col("name"))] if types else []
+    target = F.coalesce(*given, lookup(L.FIELD_TYPES, F.col("name")), F.lit("string"))
     typed = F.when(target == "string", F.struct(F.coalesce(normalize_enum("value"), F.col("value")).alias("value"), F.lit("string").alias("type"))).otherwise(coerce("value", target))
     out = keep.withColumn("raw", F.col("value")).withColumn("_t", typed).withColumns({"value": F.col("_t.value"), "type": F.col("_t.type")}).drop("_t").where("value <> ''")
     return out.withColumn("name", F.coalesce(lookup(renames, F.col("name")), "name")) if renames else out

@@ -75,8 +75,9 @@ def demote_containers(candidates: DataFrame) -> DataFrame:
 
 
 def explain(candidates: DataFrame) -> DataFrame:
-    """A row for each signal of each candidate."""
-    return candidates.select(*RECORD, "name", "value", "source", "confidence", F.posexplode("signals").alias("n", "s")).select("*", "s.*").drop("s").withColumnRenamed("weight", "signal_weight")
+    """A row for each signal of each candidate: its place ``n``, ``signal, weight, detail``."""
+    rows = candidates.select(*RECORD, "name", "value", "source", "confidence", F.posexplode("signals").alias("n", "s"))
+    return rows.select("*", F.col("s.name").alias("signal"), F.col("s.weight").alias("weight"), F.col("s.detail").alias("detail")).drop("s")
 
 
 def schema_of(fields: DataFrame) -> DataFrame:

@@ -197,7 +197,7 @@ def config_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").cast("long").alias("p_partkey"), "maker", "origin")
 
 
-@query("""SELECT strategy, count(*) AS records FROM (SELECT 'table' AS strategy FROM nation UNION ALL SELECT 'dom' FROM part WHERE p_partkey < 20 UNION ALL SELECT 'structured' FROM nation WHERE n_nationkey < 5) GROUP BY strategy""")
+@query("""SELECT strategy, count(*) AS records FROM (SELECT 'table' AS strategy FROM nation UNION ALL SELECT 'dom' FROM part UNION ALL SELECT 'structured' FROM nation) GROUP BY strategy""")
 def arbitrate_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(rendered.mixed_pages(table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")))
     return found.select("page_id", "strategy", "record_ix").distinct().groupBy("strategy").agg(F.count("*").alias("records"))
@@ -234,16 +234,18 @@ def schema_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.schema_of(rows)
 
 
-@query("""WITH p AS (SELECT n_nationkey AS ord, CASE WHEN n_nationkey % 7 = 6 THEN '9!' ELSE 'field ' || n_nationkey END AS field, 'c' || (n_nationkey % 12) AS id, n_nationkey % 12 AS c FROM nation),
-  r AS (SELECT *, CASE WHEN ord % 7 = 6 THEN 'bad name' WHEN c >= 10 THEN 'unknown column' WHEN c * 0.1 < 0.3 THEN 'low coverage' END AS reason FROM p),
-  t AS (SELECT *, min(CASE WHEN reason IS NULL THEN ord END) OVER (PARTITION BY id) AS f FROM r)
-  SELECT ord, field, id, CASE WHEN reason IS NULL AND ord <= f THEN 'accepted' ELSE 'rejected' END AS status, coalesce(reason, CASE WHEN ord > f THEN 'column taken' END) AS reason FROM t""")
+@query("""WITH p AS (SELECT n_nationkey AS ord, CASE WHEN n_nationkey % 7 = 6 THEN '9!' ELSE 'field ' || (n_nationkey % 18) END AS field, 'c' || (n_nationkey % 12) AS id, n_nationkey % 12 AS c FROM nation),
+  r AS (SELECT *, CASE WHEN ord % 7 = 6 THEN 'not a usable field name' WHEN c >= 10 THEN 'no such column' WHEN c * 0.1 < 0.3 THEN 'too few records' END AS own FROM p),
+  t AS (SELECT *, min(CASE WHEN own IS NULL THEN ord END) OVER (PARTITION BY field) AS f FROM r),
+  u AS (SELECT *, CASE WHEN ord % 7 = 6 THEN own WHEN ord > f THEN 'duplicate name' ELSE own END AS reason FROM t),
+  v AS (SELECT *, coalesce(count(CASE WHEN reason IS NULL THEN 1 END) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM u)
+  SELECT ord, field, id, CASE WHEN n >= 8 OR reason IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN n >= 8 THEN 'field limit reached' ELSE reason END AS reason FROM v""")
 def proposal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
     nation = table(spark, sf_dir, "nation")
-    proposals = nation.select(key.alias("ord"), F.when(key % 7 == 6, "9!").otherwise(F.concat(F.lit("field "), key)).alias("field"), F.concat(F.lit("c"), key % 12).alias("id"))
+    proposals = nation.select(key.alias("ord"), F.when(key % 7 == 6, "9!").otherwise(F.concat(F.lit("field "), key % 18)).alias("field"), F.concat(F.lit("c"), key % 12).alias("id"))
     columns = nation.where("n_nationkey < 10").select(F.concat(F.lit("c"), key).alias("id"), (key * F.lit("0.1").cast("decimal(2,1)")).cast("double").alias("coverage"))
-    return brief.gate(proposals, columns, 0.3)
+    return brief.gate(proposals, columns, 0.3, 8).drop("name")
 
 
 # Records

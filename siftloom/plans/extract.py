@@ -31,6 +31,7 @@ class Options:
     fields: dict[str, dict] = field(default_factory=dict)
     wanted: list[str] | None = None
     renames: dict[str, str] = field(default_factory=dict)
+    types: dict[str, str] = field(default_factory=dict)
     required: list[str] = field(default_factory=list)
     min_confidence: float = 0.0
     min_records: int = 2
@@ -93,7 +94,9 @@ def configured(nodes: DataFrame, members: DataFrame, specs: dict[str, dict]) ->
             hit = members.select("page_id", "rank", "record_ix", "node_id", "end_id", F.lit(spec["value"]).alias("value"))
         else:
             hit = css.select_within(nodes, members, place)
-            value = F.element_at("attrs", spec["attribute"]) if spec.get("attribute") else F.col("sub_text")
+            if spec.get("regex") and not spec.get("attribute"):
+                hit = with_whole_text(nodes, hit)
+            value = F.element_at("attrs", spec["attribute"]) if spec.get("attribute") else F.col("whole" if spec.get("regex") else "sub_text")
             if spec.get("regex"):
                 value = F.nullif(F.regexp_extract(value, spec["regex"], 1 if "(" in spec["regex"].replace("\\(", "").replace("(?:", "") else 0), F.lit(""))
             hit = hit.withColumn("value", value).where("value is not null and value <> ''")
@@ -108,6 +111,18 @@ def configured(nodes: DataFrame, members: DataFrame, specs: dict[str, dict]) ->
     return found
 
 
+def with_whole_text(nodes: DataFrame, hit: DataFrame) -> DataFrame:
+    """Rows of nodes with ``whole``: all of their text, of any length."""
+    key = ["page_id", "rank", "record_ix", "node_id"]
+    spans = hit.select(*key[:3], F.col("node_id").alias("top"), F.col("end_id").alias("last"))
+    inside = nodes.select("page_id", "node_id", "end_id", "depth", "text", "tail").join(spans, "page_id").where("node_id between top and last and (text <> '' or tail <> '')")
+    own = F.struct(F.col("node_id").alias("at"), F.lit(0).alias("k"), F.lit(0).alias("d"), F.col("text").alias("s"))
+    after = F.struct(F.col("end_id").alias("at"), F.lit(1).alias("k"), (-F.col("depth")).alias("d"), F.when(F.col("node_id") == F.col("top"), "").otherwise(F.col("tail")).alias("s"))
+    pieces = inside.select(*key[:3], "top", F.explode(F.array(own, after)).alias("p")).groupBy(*key[:3], "top").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    whole = pieces.select(*key[:3], F.col("top").alias("node_id"), normalize_text(F.array_join(F.transform("p", lambda x: x["s"]), "")).alias("whole"))
+    return hit.join(whole, key, "left")
+
+
 def dom_members(nodes: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     """The items of each page's collection, and its quality."""
     if o.collection:
@@ -158,7 +173,7 @@ def extract_parts(pages: DataFrame, nodes: DataFrame, cells: DataFrame, blocks:
     state = F.struct((F.col("attempt") < 4).alias("a"), F.col("quality").alias("q"), F.col("size").alias("s"), (-F.col("attempt")).alias("o"))
     ranked = every.join(sizes, ["page_id", "attempt"]).withColumn("state", state).withColumn("best", F.max("state").over(W.partitionBy("page_id"))).where("state = best")
     ranked = ranked.where(F.col("record_ix") < o.max_records_per_page)
-    typed = records.finalize(ranked, o.wanted, o.renames)
+    typed = records.finalize(ranked, o.wanted, o.renames, o.types)
     alone = F.count("*").over(W.partitionBy("page_id", "record_ix"))
     out = typed.withColumn("_n", alone).where((F.col("strategy") != "page") | (F.col("_n") > 1)).drop("_n")
     return out.select("page_id", "strategy", F.lit(1).alias("rank"), "record_ix", "name", "value", "raw", "type", "source", "selector", "confidence", "signals")
@@ -226,7 +241,7 @@ def extract_one(pages: DataFrame, options: Options | None = None) -> DataFrame:
         every = df if every is None else every.unionByName(df)
     first = every.withColumn("_n", F.row_number().over(W.partitionBy("page_id", "name").orderBy("tier", F.desc("confidence"), "ord"))).where("_n = 1").drop("_n", "tier")
     one = first.withColumns({"rank": F.lit(1), "record_ix": F.lit(0)})
-    return records.assemble(records.finalize(one, o.wanted, o.renames)).drop("rank", "record_ix")
+    return records.assemble(records.finalize(one, o.wanted, o.renames, o.types)).drop("rank", "record_ix")
 
 
 def page_links(nodes: DataFrame) -> DataFrame:

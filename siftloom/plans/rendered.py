@@ -29,14 +29,15 @@ def supplier_tables(supplier: DataFrame) -> DataFrame:
     return page(supplier, F.col("s_suppkey"), 20, item, head, "</tbody></table>", "http://suppliers.example.com/", "s_suppkey")
 
 
-def part_cards(part: DataFrame) -> DataFrame:
+def part_cards(part: DataFrame, first: int = 0) -> DataFrame:
+    """Twenty cards a page; keys are counted from ``first``."""
     key = F.col("p_partkey").cast("string")
     item = text(
         '<div class="product-card"><a href="/p/', key, '"><img src="/i/', key, '.jpg" alt=""></a><h2 class="title"><a href="/p/', key, '">', escaped(F.col("p_name")), "</a></h2>",
         '<span class="price">$', F.format_string("%,.2f", "p_retailprice"), '</span><p class="brand">', escaped(F.col("p_brand")), '</p><div class="sku">SKU: PART-', key, "</div></div>",
     )
     before = '<nav><ul class="menu"><li><a href="/">Home</a></li><li><a href="/about">About</a></li></ul></nav><div class="products">'
-    return page(part, F.col("p_partkey"), 20, item, before, "</div>", "http://parts.example.com/list/", "p_partkey")
+    return page(part, F.col("p_partkey") - first, 20, item, before, "</div>", "http://parts.example.com/list/", "p_partkey")
 
 
 def order_jsonld(orders: DataFrame) -> DataFrame:
@@ -44,8 +45,8 @@ def order_jsonld(orders: DataFrame) -> DataFrame:
     return page(orders, F.col("o_orderkey"), 50, text('<script type="application/ld+json">', data, "</script>"), "", "<p>Orders</p>", "http://orders.example.com/", "o_orderkey")
 
 
-def nation_microdata(nation: DataFrame) -> DataFrame:
-    item = text('<div itemscope itemtype="http://schema.org/Place"><span itemprop="name">', F.col("n_name"), '</span><meta itemprop="identifier" content="N', F.col("n_nationkey").cast("string"), '"></div>')
+def nation_microdata(nation: DataFrame, kind: str = "Place") -> DataFrame:
+    item = text(f'<div itemscope itemtype="http://schema.org/{kind}"><span itemprop="name">', F.col("n_name"), '</span><meta itemprop="identifier" content="N', F.col("n_nationkey").cast("string"), '"></div>')
     return page(nation, F.col("n_nationkey"), 5, item, "", "", "http://nations.example.com/", "n_nationkey")
 
 
@@ -65,9 +66,8 @@ def _all():  # noqa: ANN202
 
 
 def mixed_pages(part: DataFrame, nation: DataFrame) -> DataFrame:
-    """Pages for different strategies: a table of nations, cards of parts, structured nations."""
+    """Pages for different strategies: a table of the nations, cards of all parts, the nations as structured data."""
     row = text("<tr><td>", F.col("n_name"), "</td><td>", F.col("n_nationkey").cast("string"), "</td><td>", F.col("n_regionkey").cast("string"), "</td></tr>")
-    table = page(nation, F.col("n_nationkey"), 100, row, "<table><tr><th>Name</th><th>Key</th><th>Region</th></tr>", "</table>", "http://mixed.example.com/table/", "n_nationkey").select((F.col("page_id") + 1).alias("page_id"), "url", "html")
-    cards = part_cards(part.where("p_partkey < 20")).select((F.col("page_id") + 2).alias("page_id"), "url", "html")
-    micro = nation_microdata(nation.where("n_nationkey < 5")).select((F.col("page_id") + 3).alias("page_id"), "url", "html")
-    return table.unionByName(cards).unionByName(micro)
+    table = page(nation, F.col("n_nationkey"), 100, row, "<table><tr><th>Name</th><th>Key</th><th>Region</th></tr>", "</table>", "http://mixed.example.com/table/", "n_nationkey")
+    dealt = lambda df, i: df.select((F.col("page_id") * 3 + i).alias("page_id"), "url", "html")
+    return dealt(table, 0).unionByName(dealt(part_cards(part, 1), 1)).unionByName(dealt(nation_microdata(nation, "Organization"), 2))

@@ -30,7 +30,8 @@ BOUNDARY = {
     "li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "body": {"html"},
 }
 ONLY_IN_HEAD = frozenset("base link meta script style template title noscript".split())
-LINKS = ("href", "src", "data-src")
+LINKS = ("href", "src", "data-src", "data-original", "data-lazy-src")
+SETS = ("srcset", "data-srcset")
 TEXT_LIMIT = 4000
 # Fixed value: class names that carry no meaning.
 HASHY = re.compile(r"^(?:[a-z]+[-_])?[a-f0-9]{5,}$|^[\w-]*__[a-zA-Z0-9]{4,}$|^(?:css|sc|jsx)-\w+$", re.I)
@@ -117,6 +118,12 @@ def stable_classes(raw: str) -> list[str]:
     return sorted({re.sub(r"\d+", "#", t.lower()) for t in raw.split() if 1 < len(t) <= 40 and not HASHY.match(t)})
 
 
+def whole_set(base: str | None, value: str) -> str:
+    """A set of images with whole addresses."""
+    parts = [p.split() for p in value.split(",")]
+    return ", ".join(" ".join([join_one(base, p[0]) or p[0], *p[1:]]) for p in parts if p)
+
+
 def text_of(n: Node) -> str:
     """Text of a node and all below, in one line."""
     parts: list[str] = []
@@ -181,7 +188,7 @@ def rows(page_id: int, url: str | None, html: str | None, root: Node | None = No
         else:
             path = f"{paths[p.id]} > {step}"
         paths.append(path)
-        attrs = {k: (join_one(base, v) or v) if k in LINKS and not v.startswith("data:") else v for k, v in n.attrs.items()}
+        attrs = {k: (join_one(base, v) or v) if k in LINKS and not v.startswith("data:") else whole_set(base, v) if k in SETS else v for k, v in n.attrs.items()}
         out.append({
             "page_id": page_id, "node_id": n.id, "end_id": n.end, "parent_id": p.id if p else -1, "depth": len(steps[-1]) - 1, "sib_pos": sibling,
             "nth_of_type": nth + 1, "n_of_type": alike, "tag": n.tag, "attrs": list(attrs.items()), "text": n.text, "tail": n.tail, "sub_text": SPACE.sub(" ", said[n.id]).strip(),
