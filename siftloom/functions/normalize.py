@@ -141,9 +141,9 @@ def tokens_of(x: Column | str) -> Column:
 
 
 def lookup(words: dict[str, str], x: Column) -> Column:
-    """Value of a fixed map."""
-    pairs = [F.lit(v) for kv in sorted(words.items()) for v in kv]
-    return F.element_at(F.create_map(*pairs), x)
+    """Value of a fixed map, written as one literal: a column for each of its words would cost a call each."""
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.element_at(F.expr(f"map({', '.join(quoted(v) for kv in sorted(words.items()) for v in kv)})"), x)
 
 
 def content_hash(html: Column | str) -> Column:

@@ -138,7 +138,8 @@ def dom_members(nodes: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
 def dom_fields(nodes: DataFrame, members: DataFrame, o: Options) -> DataFrame:
     found = fields.candidates(nodes, members).select(*COLUMNS).unionByName(alignment.candidates(nodes, members).select(*COLUMNS))
     own = configured(nodes, members, o.fields)
-    return scoring.apply_consistency(scoring.score(found if own is None else found.unionByName(own.select(*COLUMNS))))
+    # Supports are counted over the candidates and joined to them: they are written, so that they are made once.
+    return scoring.apply_consistency(write_shared(scoring.score(found if own is None else found.unionByName(own.select(*COLUMNS))), "candidates"))
 
 
 def extract(pages: DataFrame, options: Options | None = None) -> DataFrame:
@@ -168,6 +169,7 @@ def extract_parts(pages: DataFrame, nodes: DataFrame, cells: DataFrame, blocks:
     for n, name, rows, q in attempts:
         part = rows.join(q, "page_id").withColumns({"attempt": F.lit(n), "strategy": F.lit(name)})
         every = part if every is None else every.unionByName(part)
+    every = write_shared(every, "attempts")
     # The page's own record stands in only where nothing else does.
     sizes = every.select("page_id", "attempt", "record_ix").distinct().groupBy("page_id", "attempt").agg(F.count("*").alias("size"))
     state = F.struct((F.col("attempt") < 4).alias("a"), F.col("quality").alias("q"), F.col("size").alias("s"), (-F.col("attempt")).alias("o"))

@@ -1,8 +1,10 @@
 """A job over a small site: pages that lead on, details, failures, robots, duplicates, the store and a retry."""
 
+import json
+
 import pytest
 
-from siftloom.plans import job
+from siftloom.plans import job, sinks
 from siftloom.plans.extract import Options, extract_one, nodes_of, page_images, page_links, parts_of, visible_text
 from siftloom.sources import load
 
@@ -45,6 +47,9 @@ def test_pages_records_and_errors(spark, archive, tmp_path):
     assert (s["sources"], s["failed"], s["pages"], s["records"]) == (5, 4, 6, 6) and s["errors"] == {"BLOCKED": 1, "HTTP_ERROR": 1, "SOURCE_ERROR": 1, "ROBOTS_DISALLOWED": 1}
     waits = {r["url"]: r["start"] for r in job.pacing(done.pages, robots).collect()}
     assert [waits[f"{SITE}/list?page={n}"] for n in (1, 2, 3)] == [0, 2, 4]
+    path = tmp_path / "job.db"
+    assert sinks.write_job(done, path) == 1 and sinks.write_job(done, path) == 2
+    assert [json.loads(r["data_json"])["title"] for r in sinks.read_job(spark, path).collect()] == [t for t, _ in ITEMS] and sinks.read_job(spark, path, 1).count() == 6
     folder = str(tmp_path / "store")
     assert job.save(done, folder) == 1
     tables = job.reopen(spark, folder)

@@ -50,6 +50,7 @@ def test_records_of_cards_and_of_a_table(spark):
 def test_export(spark, tmp_path):
     found, _ = process(pages(spark, NEWS))
     found = found.persist()
+    assert sinks.export(found, tmp_path / "a.json", pretty=False) == 3 and len(json.loads((tmp_path / "a.json").read_text())) == 3
     assert sinks.export(found, tmp_path / "a.json") == 3 and len(json.loads((tmp_path / "a.json").read_text())) == 3
     assert sinks.export(found, tmp_path / "a.jsonl") == 3 and sinks.export(found, tmp_path / "a.db") == 3
     sinks.export(found, tmp_path / "a.csv")
@@ -80,8 +81,13 @@ def test_selectors_and_next_page(spark):
     count = lambda s: css.select(nodes, s).count()
     assert (count("div.products > div.product-card"), count("a[href]"), count("li:nth-of-type(2)"), count("nav a, span.price"), count("#none")) == (4, 11, 1, 6, 0)
     assert [(r["url"], r["source"]) for r in navigation.next_pages(nodes, p).collect()] == [("http://shop.example.com/list?page=3", "rel=next")]
+    more = {"h2 + span": 4, "a ~ h2": 4, "a + span": 0, "div.product-card > :not(a)": 8, "div.product-card:nth-child(2)": 1, "div.product-card:last-of-type": 1, "nav ul > li:first-of-type > a": 1, "span:only-of-type": 4, "[class|=product]": 4}
+    more |= {"//div[@class='products']/div": 4, "//a[@rel='next']": 1, "//li[2]/a": 1, ".//a[starts-with(@href, 'http://shop')][contains(@href, '/p/')]": 8, "(//span)": 4}
+    assert {s: count(s) for s in more} == more
     with pytest.raises(ValueError):
         css.steps("a >")
+    with pytest.raises(ValueError):
+        css.from_xpath("//a[last()]")
 
 
 def test_config():
