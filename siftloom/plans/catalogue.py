@@ -15,7 +15,7 @@ from ..operators import brief, collections, css, jobs, navigation, records, scor
 from ..shared import shared_dir, write_shared
 from ..sources.html import shred
 from . import rendered
-from .extract import configured, extract, nodes_of, page_titles
+from .extract import Options, configured, extract, nodes_of, page_titles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,9 +122,19 @@ def css_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return css.select(nodes_of(table(spark, sf_dir, "pages")), "nav > ul > li a[href]").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH n AS (SELECT page_id, len(regexp_extract_all(html, '<p>')) AS p, len(regexp_extract_all(html, '<li>')) AS li FROM pages)
+  SELECT page_id, 'article > p:nth-of-type(1)' AS selector, p AS count, 'p' AS label FROM n WHERE p > 1 UNION ALL SELECT page_id, 'nav > ul > li:nth-of-type(1)', li, 'li' FROM n WHERE li > 1""")
 def top_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collections.discover(nodes_of(table(spark, sf_dir, "pages"))).select("page_id", "rank", "selector", "count", "confidence", "label")
+    """Each page's collections: the article's paragraphs and the menu's items."""
+    return collections.discover(nodes_of(table(spark, sf_dir, "pages"))).select("page_id", "selector", "count", "label")
+
+
+@query("""WITH t AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS title FROM pages)
+  SELECT page_id, 'page' AS strategy, 'title' AS name, title AS value, 'string' AS type, 'position' AS source FROM t WHERE title <> '' UNION ALL SELECT page_id, 'page', 'url', url, 'url', 'semantic' FROM t""")
+def page_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages say of themselves, where nothing on them may count as a collection."""
+    found = extract(table(spark, sf_dir, "pages"), Options(min_records=1_000_000, include_tables=False))
+    return found.select("page_id", "strategy", "name", "value", "type", "source")
 
 
 @query()
