@@ -52,19 +52,14 @@ def nation_microdata(nation: DataFrame, kind: str = "Place") -> DataFrame:
 
 def customer_pages(customer: DataFrame, per_page: int = 100) -> DataFrame:
     """Pages that lead on to the next, ``http://customers.example.com/list?page=1`` the first."""
-    n = F.floor((F.col("c_custkey") - F.min("c_custkey").over(_all())) / per_page) + 1
+    first = customer.agg(F.min("c_custkey")).first()[0] or 0
+    n = F.floor((F.col("c_custkey") - first) / per_page) + 1
     items = customer.withColumn("n", n).groupBy("n").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<li>"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"), F.lit("</li>")))), "").alias("body"))
     last = items.agg(F.max("n")).first()[0] or 0
     following = F.when(F.col("n") < last, text('<a rel="next" href="?page=', (F.col("n") + 1).cast("string"), '">Next</a>')).otherwise("")
     return items.select(F.col("n").cast("long").alias("page_id"), text("http://customers.example.com/list?page=", F.col("n").cast("string")).alias("url"), text("<html><body><ul>", F.col("body"), '</ul><div class="pager">', following, "</div></body></html>").alias("html"))
 
 
-def _all():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def mixed_pages(part: DataFrame, nation: DataFrame) -> DataFrame:
     """Pages for different strategies: a table of the nations, cards of all parts, the nations as structured data."""
     row = text("<tr><td>", F.col("n_name"), "</td><td>", F.col("n_nationkey").cast("string"), "</td><td>", F.col("n_regionkey").cast("string"), "</td></tr>")

@@ -114,3 +114,15 @@ def test_pagination_chain_has_no_bound(spark, tmp_path, monkeypatch):
     spark.range(1, 251).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
     got = catalogue.pagination_chain(spark, str(tmp_path))
     assert bounds == [None] and sorted(r["c_custkey"] for r in got.collect()) == list(range(1, 251))
+
+
+def test_nodes_of_records_side_by_side_and_nested(spark):
+    from siftloom.operators.fields import record_nodes
+
+    nodes = nodes_of(pages(spark, "<div><p>a<b>b</b></p><i>no</i><p>c</p></div>", "<div>x<div>y<p>z</p></div><p>w</p></div>"))
+    members = nodes.where("(page_id = 0 and tag = 'p') or (page_id = 1 and tag = 'div')")
+    records = members.selectExpr("page_id", "1 as rank", "node_id as record_ix", "node_id", "end_id", "depth")
+    got = {}
+    for r in record_nodes(nodes, records).orderBy("page_id", "record_ix", "node_id").collect():
+        got.setdefault((r["page_id"], r["record_ix"]), []).append((r["tag"], r["selector"]))
+    assert got == {(0, 2): [("p", ":scope"), ("b", "b")], (0, 5): [("p", ":scope")], (1, 1): [("div", ":scope"), ("div", "div"), ("p", "div > p"), ("p", "p")], (1, 2): [("div", ":scope"), ("p", "p")]}
