@@ -16,7 +16,7 @@ from ..sources import load
 from ..sources.html import shred
 from . import job, rendered, sinks
 from .catalogue import line_candidates, order_records, query, table
-from .extract import extract_one, nodes_of, page_images, page_links, visible_text
+from .extract import extract_one, hydrate, nodes_of, page_images, page_links, visible_text
 from .rendered import text
 
 # Values
@@ -111,6 +111,26 @@ def card_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "rank", "count", "label", "selector")
 
 
+@query("""SELECT page_id, url, len(regexp_extract_all(html, '<a href="[^#"]')) AS links, len(regexp_extract_all(html, '<img ')) AS images, regexp_extract(html, '<a href="/([^"]*)"', 1) <> '' AS linked FROM pages""")
+def hydrated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their title, text, links and images."""
+    pages = table(spark, sf_dir, "pages")
+    found = hydrate(pages, nodes_of(pages))
+    return found.select("page_id", "url", F.size("links").alias("links"), F.size("images").alias("images"), F.exists("links", lambda x: x["n"] == 1).alias("linked"))
+
+
+@query("""SELECT 'h' || (c_custkey % 20) || '.example.com' AS host, c_custkey,
+  ((row_number() OVER (PARTITION BY c_custkey % 20 ORDER BY c_custkey % 7, c_custkey) - 1) // 2 * CASE WHEN c_custkey % 20 BETWEEN 2 AND 9 THEN c_custkey % 20 ELSE 1 END)::DOUBLE AS start FROM customer""")
+def polite_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each page may be asked for: two of a host at a time, as far apart as its robots file asks, or a second."""
+    k = F.col("c_custkey")
+    met = table(spark, sf_dir, "customer").select(text("http://h", (k % 20).cast("string"), ".example.com/", F.lpad(k.cast("string"), 12, "0")).alias("url"), (k % 7).alias("depth"))
+    robots = spark.createDataFrame([(f"h{i}.example.com", f"User-agent: *\nCrawl-delay: {i}") for i in range(2, 10)], "host string, rules string")
+    zero = spark.createDataFrame([("h0.example.com", "")], "host string, rules string")
+    found = job.pacing(met, robots.unionByName(zero), 1.0, 2)
+    return found.select("host", F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("c_custkey"), "start")
+
+
 # Columns of records
 
 

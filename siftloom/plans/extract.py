@@ -263,6 +263,21 @@ def page_images(nodes: DataFrame) -> DataFrame:
     return img.select("page_id", n.alias("n"), "url", said("alt").alias("alt"), said("title").alias("title"), size("width").alias("width"), size("height").alias("height"))
 
 
+def hydrate(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``page_id, url, title, text, links, images`` of each page; links and images are arrays in the page's order. A page without any has empty ones."""
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        one = F.struct(*[c for c in df.columns if c != "page_id"])
+        return df.groupBy("page_id").agg(F.array_sort(F.collect_list(one)).alias(name))
+
+    out = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
+    parts = (page_titles(nodes), visible_text(nodes), listed(page_links(nodes), "links"), listed(page_images(nodes), "images"))
+    for part in parts:
+        out = out.join(part, "page_id", "left")
+    empty = {"links": "array<struct<n:int,url:string,text:string,rel:string,title:string>>", "images": "array<struct<n:int,url:string,alt:string,title:string,width:int,height:int>>"}
+    return out.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in empty.items()} | {"text": F.coalesce("text", F.lit(""))})
+
+
 def visible_text(nodes: DataFrame) -> DataFrame:
     """``page_id, text``: what a reader sees of each page: of each element that shows its own text, then what follows it, a space between."""
     shown = nodes.where(~F.col("tag").isin(*INVISIBLE))

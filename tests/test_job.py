@@ -3,9 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from siftloom.operators import jobs
 from siftloom.plans import job, sinks
-from siftloom.plans.extract import Options, extract_one, nodes_of, page_images, page_links, parts_of, visible_text
+from siftloom.plans.extract import Options, extract_one, hydrate, nodes_of, page_images, page_links, parts_of, visible_text
 from siftloom.sources import load
 
 SITE = "http://shop.example.com"
@@ -59,6 +61,11 @@ def test_pages_records_and_errors(spark, archive, tmp_path):
     whole = archive.where("url <> 'http://gone.example.com/'").unionByName(spark.createDataFrame([("http://gone.example.com/", listing(3, True), 200), ("http://absent.example.com/", listing(2, True), 200)], archive.schema))
     again = job.retry(whole, folder)
     assert {r["status"] for r in again.sources.collect()} == {"done"} and again.records.count() == 4
+    stored = job.reopen(spark, folder)
+    assert job.latest(stored) == 2 and [tuple(r) for r in job.counts(stored).orderBy("job_id").collect()] == [(1, 5, 6, 6, 4), (2, 2, 2, 4, 0)]
+    job.put_meta(spark, folder, "note", "a")
+    job.put_meta(spark, folder, "note", "b")
+    assert [tuple(r) for r in job.get_meta(spark, folder).collect()] == [("note", "b")]
     assert sorted(r["job_id"] for r in job.reopen(spark, folder)["jobs"].collect()) == [1, 2] and job.retry(whole, folder) is None
     assert job.reopen(spark, str(tmp_path / "none")) == {} and job.retry(whole, str(tmp_path / "none")) is None
 
@@ -97,7 +104,17 @@ def test_page_parts(spark):
     nodes = nodes_of(pages)
     assert [tuple(r) for r in page_links(nodes).collect()] == [(1, 1, "http://h/a", "A a", "nofollow", "t t")]
     assert [tuple(r) for r in page_images(nodes).orderBy("n").collect()] == [(1, 1, "http://h/i.png", "I", "", 10, None), (1, 2, "http://h/j.png", "", "", None, None)]
-    assert visible_text(nodes).first()["text"] == "T one two three A a no"
+    assert visible_text(nodes).first()["text"] == "T one three two A a no"
+    whole = hydrate(pages.unionByName(spark.createDataFrame([(2, "u", None)], pages.schema)), nodes).orderBy("page_id").collect()
+    assert (whole[0]["title"], len(whole[0]["links"]), [i["url"] for i in whole[0]["images"]]) == ("T", 1, ["http://h/i.png", "http://h/j.png"]) and (whole[1]["links"], whole[1]["text"]) == ([], "")
+
+
+def test_codes_and_waits(spark):
+    assert [jobs.code_of(e) for e in (TimeoutError(), FileNotFoundError(), KeyError(), sinks.ExportError())] == ["NAVIGATION_TIMEOUT", "SOURCE_ERROR", "UNKNOWN", "EXPORT_ERROR"]
+    assert set(jobs.RETRYABLE) | set(jobs.TERMINAL) < set(jobs.CODES) and not set(jobs.RETRYABLE) & set(jobs.TERMINAL)
+    k = F.col("id")
+    waits = spark.range(1, 5).select(jobs.backoff(k).alias("w"), jobs.backoff(k, jitter=0.25, key=k).alias("j")).collect()
+    assert [r["w"] for r in waits] == [1, 2, 4, 8] and all(0.75 * r["w"] <= r["j"] <= 1.25 * r["w"] and r["j"] != r["w"] for r in waits)
 
 
 def test_large_and_deep_pages(spark):
