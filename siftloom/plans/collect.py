@@ -28,9 +28,9 @@ def collect(sources: DataFrame, plan: Plan, fetch: Fetch, robots: DataFrame | No
     wave = sources.where("url is not null").select("source_id", "url").dropDuplicates(["url"])
     found = None
     for _ in range(plan.max_pages if plan.paginate else 1):
-        pages = write_shared(asked(wave, fetch, robots, plan).select(*keep), "fetched")
-        if pages.isEmpty():
+        if wave.isEmpty():
             break
+        pages = write_shared(asked(wave, fetch, robots, plan).select(*keep), "fetched")
         archive = archive.unionByName(pages)
         fine = pages.where("error is null").withColumn("page_id", F.xxhash64("url"))
         nodes, cells, blocks = parts_of(fine)

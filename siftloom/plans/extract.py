@@ -249,7 +249,7 @@ def extract_one(pages: DataFrame, options: Options | None = None) -> DataFrame:
 def page_links(nodes: DataFrame) -> DataFrame:
     """``page_id, n, url, text, rel, title`` of each page's links, in order."""
     said = lambda a: normalize_text(F.element_at("attrs", a))
-    a = nodes.where((F.col("tag") == "a") & (F.coalesce(F.element_at("attrs", "href"), F.lit("")) != ""))
+    a = nodes.where((F.col("tag") == "a") & ~F.coalesce(F.element_at("attrs", "href"), F.lit("")).rlike("(?i)^\\s*($|#|javascript:|mailto:|tel:)"))
     n = F.row_number().over(W.partitionBy("page_id").orderBy("node_id"))
     return a.select("page_id", n.alias("n"), F.element_at("attrs", "href").alias("url"), F.substring("sub_text", 1, 300).alias("text"), said("rel").alias("rel"), said("title").alias("title"))
 

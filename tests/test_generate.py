@@ -27,11 +27,11 @@ def test_job_file(spark):
     capital, area = ids["span.entry-capital"], ids["span.entry-area"]
     assert found["collection"]["records"] == 8 and capital in generate.question(found, "city") and "city" in generate.question(found, "city")
     answer = 'Sure:\n```json\n' + json.dumps({"collection": "g1", "fields": [{"name": "City name", "column": capital, "why": "a\ncity"}, {"name": "9", "column": area}, {"name": "city_name", "column": area}, {"name": "other", "column": "c99"}], "drop": [area, "c98"], "notes": "n"}) + "\n``` done"
-    text, verdict = generate.generate(spark, page(spark, SHOP), answer, "city")
+    text, verdict = generate.generate(spark, page(spark, SHOP), answer, "city", found=found)
     assert {(r["field"], r["reason"]) for r in verdict.collect()} == {("City name", None), ("9", "not a usable field name"), ("city_name", "duplicate name"), ("other", "no such column")}
     read = Config.model_validate(jsonc(text))
     assert list(read.extraction.fields) == ["city_name"] and read.extraction.collection == found["collection"]["selector"] and "// a city" in text and f"Ignored {area}" in text
-    plain, none = generate.generate(spark, page(spark, SHOP), "no json here")
+    plain, none = generate.generate(spark, page(spark, SHOP), "no json here", found=found)
     assert none is None and "no JSON object" in plain and all(s.mode == "auto" for s in Config.model_validate(jsonc(plain)).extraction.fields.values())
 
 

@@ -71,7 +71,7 @@ def test_pages_records_and_errors(spark, archive, tmp_path):
 
 
 @pytest.mark.parametrize(("plan", "records", "pages"), [
-    ({"max_pages": 2}, 4, 2), ({"paginate": False}, 2, 1), ({"max_items": 3}, 4, 3), ({"next_selector": "a.more"}, 6, 3), ({"url_template": SITE + "/list?page={page}"}, 6, 3), ({"next_selector": "a.none"}, 6, 3),
+    ({"max_pages": 2, "max_items": 1}, 2, 2), ({"paginate": False}, 2, 1), ({"next_selector": "a.none", "url_template": SITE + "/list?page={page}"}, 6, 3),
 ])
 def test_ways(spark, archive, plan, records, pages):
     done = job.run(archive, start(spark, f"{SITE}/list?page=1"), job.Plan(**plan))
@@ -81,7 +81,7 @@ def test_ways(spark, archive, plan, records, pages):
 def test_scopes_of_duplicates(spark, archive):
     sources = start(spark, f"{SITE}/list?page=2", f"{SITE}/list?page=2", f"{SITE}/list?page=1")
     n = lambda **kw: job.run(archive, sources, job.Plan(**kw)).records.count()
-    assert (n(), n(scope="source"), n(dedupe=False), n(keys=("price",))) == (6, 14, 14, 6)
+    assert (n(scope="source"), n(keys=("price",))) == (14, 6)
 
 
 def test_follow(spark, archive):
