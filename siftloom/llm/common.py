@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import write_shared
+from ..shared import settled, write_shared
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows of one key from which a join deals it over salts.
 HOT_ROWS = 1_000
+#: Bits of the filter of keys that joins get: 64 to a row, as broadcast 2^18 rows at most, whatever the number of keys.
+FILTER_BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,18 @@ def salted_join(rows: DataFrame, other: DataFrame, key: str, salts: int = 32) ->
     return dealt.join(spread, [key, "_salt"]).drop("_salt")
 
 
+def parted(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key``, a hash, may be among those of ``keys``, and the rows whose key is not; neither is shuffled.
+
+    So a join of large rows with few keys need only deal out the first. With many keys the second become fewer; no row is in both or in none.
+    """
+    at = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    bits = keys.select(F.shiftright(at, 6).alias("_word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    bits = F.broadcast(write_shared(bits, "key-filter"))
+    hit = (F.shiftright(at, 6) == F.col("_word")) & (F.getbit("_bits", F.col("key").bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
+    return rows.join(bits, hit, "left_semi"), rows.join(bits, hit, "left_anti")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Root of each node: ``(a long, b long)`` edges to ``(node, root)``, root the least node of the component.
 
@@ -73,8 +87,12 @@ def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), row.alias("row"))
-    of_text = docs.select(text_key().alias("key"), place.alias("place")).groupBy("key").agg(F.min("place").alias("place"))
-    first = of_text.join(classes, "key").groupBy("root").agg(F.min("place").alias("place")).select("place.row")
-    # As one struct, the columns of docs clash with no other.
-    rows = docs.select(row.alias("row"), F.struct("*").alias("doc"))
-    return rows.join(first, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
+    of_text = docs.select(text_key().alias("key"), place.alias("place")).groupBy("key").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    of_text = write_shared(of_text.join(classes, "key"), "texts")
+    of_class = write_shared(of_text.groupBy("root").agg(F.min("place").alias("place"), F.sum("n").alias("n")), "first-of-class")
+    first = of_class.select("place.row")
+    several = settled(docs.sparkSession, "several", lambda: salted_join(of_text.select("key", "root"), of_class.where("n > 1").select("root"), "root").select("key"))
+    # As one struct, the columns of docs clash with no other. Texts that are alone in their class stay where they are.
+    rows = docs.select(text_key().alias("key"), row.alias("row"), F.struct("*").alias("doc"))
+    among, alone = parted(rows, several)
+    return among.join(first, "row", "left_semi").dropDuplicates(["row"]).union(alone).select("doc.*")

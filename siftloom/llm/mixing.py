@@ -93,7 +93,7 @@ def mix(docs: DataFrame) -> DataFrame:
     Rows are written with a number of their own, by which the plan finds them again: no key is shared.
     """
     # As one struct, the columns of docs clash with no other.
-    rows = write_shared(docs.select(*sized(docs), F.struct("*").alias("doc")), "numbered")
+    rows = write_shared(docs.select(*sized(docs), F.struct("*").alias("doc")), "numbered", "zstd")
     taken = copies(rows.drop("doc")).where("copies > 0").select("uid", F.col("copies").cast("int").alias("n"))
     return rows.select("uid", "doc").join(taken, "uid").select("doc", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc.*")
 

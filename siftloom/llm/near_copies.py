@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, one_of_each, text_key, write_shared
+from .common import connected_components, one_of_each, parted, settled, text_key, write_shared
 from .simhash import _merge, link_in_buckets, shingle_hashes
 
 SHINGLE, LEAST, BANDS, ROWS, WORDS, RADIUS = 5, (4, 5), 32, 5, 4, 68
@@ -171,11 +171,15 @@ def compared_in_cells(members: DataFrame, sets: DataFrame) -> DataFrame:
 def link_sets(docs: DataFrame, texts_of: DataFrame) -> DataFrame:
     """``(node, root)`` of the sets that are linked to another; ``texts_of`` has ``(key, sid, fp, bands)`` of every text."""
     nodes = write_shared(texts_of.groupBy("sid").agg(F.min("key").alias("key"), F.min(F.struct("fp", "bands")).alias("s")), "sets")
-    rows = nodes.select(F.col("sid").alias("id"), "s.fp", F.explode("s.bands").alias("bucket"))
+    # Most buckets hold one set: only the others' rows are dealt out, and get their fingerprints afterwards.
+    held = nodes.select("sid", F.explode("s.bands").alias("key"))
+    shared = write_shared(held.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("key"), "shared-buckets")
+    meeting = parted(held, shared)[0].join(shared, "key", "left_semi")
+    rows = write_shared(meeting.join(nodes.select("sid", "s.fp"), "sid").select(F.col("sid").alias("id"), "fp", F.col("key").alias("bucket")), "buckets")
     groups = connected_components(link_in_buckets(rows, RADIUS))
     members = write_shared(groups.select(F.col("node").alias("sid"), F.col("root").alias("block")).join(nodes.select("sid", "key"), "sid"), "members")
     texts = docs.select(text_key().alias("key"), F.col("text").cast("binary").alias("text"))
-    one = texts.join(members.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    one = parted(texts, members.select("key"))[0].join(members.select("key"), "key", "left_semi").dropDuplicates(["key"])
     sets = write_shared(shingle_sets(one), "shingle-sets")
     links = None
     for k in range(HUBS):
@@ -205,4 +209,4 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     A document without id stays only if its class has no other. Repeated rows are one document. All columns stay as they are.
     """
-    return one_of_each(docs, near_duplicates(docs))
+    return one_of_each(docs, settled(docs.sparkSession, "classes", lambda: near_duplicates(docs)))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, write_shared
+from .common import parted, settled, table, write_shared
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, REACH, SUPPORT, CHANCE = 8, 160, 3, 0.01
@@ -314,7 +314,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Every row comes back, repeated rows and rows without id too; rows that share an id are told apart by their text. Other columns stay as they are.
     """
-    hits = term_hits(docs, revealing_terms(docs, write_shared(find_base(docs), "base-spans")))
+    hits = settled(docs.sparkSession, "hits", lambda: term_hits(docs, revealing_terms(docs, write_shared(find_base(docs), "base-spans"))))
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     @F.pandas_udf("string")
@@ -323,9 +323,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
         return pd.Series([None if t is None else masked(t, h) for t, h in zip(text, hits)], dtype=object)
 
-    # As one struct, the columns of docs clash with no other.
+    # As one struct, the columns of docs clash with no other. Rows without hits stay where they are.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.struct("*").alias("doc"))
-    out = joined(rows, hits).select("doc", mask(F.col("doc.text").cast("string"), "hits").alias("masked"))
+    among, without = parted(rows, hits)
+    out = joined(among, hits).select("doc", "hits").union(without.select("doc", F.lit(None).cast(hits.schema["hits"].dataType).alias("hits")))
+    out = out.select("doc", mask(F.col("doc.text").cast("string"), "hits").alias("masked"))
     new = {"text": F.col("masked"), "n_chars": F.length("masked")}
     return out.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
 

@@ -137,7 +137,7 @@ def keep(docs: DataFrame) -> DataFrame:
     """
     # As one struct, the columns of docs clash with no other.
     rows = docs.select(F.struct("*").alias("doc"), F.col("source").cast("string").alias("host"), let(statistics(F.col("text")), failures).alias("failed"))
-    return judged(write_shared(rows, "checked")).where("kept").select("doc.*")
+    return judged(write_shared(rows, "checked", "zstd")).where("kept").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
